@@ -22,8 +22,10 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64; n of them at least."""
     if base not in _powers or len(_powers[base]) < n:
+        steps = np.full(max(n, CHUNK) + 64, base, np.uint64)
+        steps[0] = 1
         with np.errstate(over="ignore"):
-            _powers[base] = np.cumprod(np.concatenate([[1], np.full(max(n, CHUNK) + 64, base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            _powers[base] = np.cumprod(steps, dtype=np.uint64)
     return _powers[base]
 
 
@@ -54,7 +56,7 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(BASE, len(b))[: len(b)], dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(BASE, len(b))[: len(b)], dtype=np.uint64)])
         h = (sums[end] - sums[start]) * _power(INVERSE, len(b) + 1)[start]
         h = mix(h + (end - start).astype(np.uint64) * MIX2)
     return h, start, end
