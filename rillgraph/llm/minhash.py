@@ -5,8 +5,10 @@ signature. Two classes with ``least`` equal coordinates share one of the ``COORD
 each (prefix), so only those are merged and the longest lists are skipped. What the lists bring together is counted
 on the whole signatures, and what passes is confirmed on the whole sets.
 
-Lists are first merged as stars around one member; only classes that are then in different components meet in pairs.
-So a large group of copies costs a link for each member, not for each pair.
+Lists are first merged as stars around their most central member; only classes that are then in different components meet
+in pairs, each pair in the first list that both prefixes share, and only if a sketch of 1024 one-bit signatures
+allows their similarity. So a large group of copies costs a link for each member, and pairs that come near the
+similarity without reaching it are the only ones that are written out.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ MISS = 1e-6
 _rng = np.random.default_rng(20240613)
 _A = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, COORDS, dtype=np.uint64)
+#: One-bit signatures in a sketch; the bit of each least value that is taken.
+BITS, BIT = 1024, np.uint32(8)
 _C = _rng.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A32, _B32 = (_rng.integers(0, 2**32, BITS, dtype=np.uint32) | np.uint32(x) for x in (1, 0))
 
 
 def least_matches(similarity: float, coords: int = COORDS, miss: float = MISS) -> int:
@@ -42,6 +47,11 @@ def least_matches(similarity: float, coords: int = COORDS, miss: float = MISS) -
     return max(1, t)
 
 
+def most_flips(similarity: float, bits: int = BITS, miss: float = MISS) -> int:
+    """The fewest unequal sketch bits that can be allowed; each differs with half the chance that its minimum differs."""
+    return bits - least_matches((1 + similarity) / 2, bits, miss)
+
+
 def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     """The sorted hashes of each text's distinct shingles."""
     with np.errstate(over="ignore"):
@@ -66,6 +76,14 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    out, x = np.full(BITS, 2**32 - 1, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(x), 256):
+            out = np.minimum(out, (x[i : i + 256, None] * _A32 + _B32).min(axis=0))
+    return np.packbits((out >> BIT).astype(np.uint8) & 1).view(np.uint64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
@@ -81,17 +99,17 @@ def _kernel(with_sets: bool):
                     n = np.array([len(s) for s in sets], np.int64)
                     one = np.array([s.sum() for s in map(mix, sets)], np.uint64).view(np.int64)
                     two = np.array([mix(s ^ _C[0]).sum() for s in sets], np.uint64).view(np.int64)
-                    last = _lists(sets) if with_sets else _lists([_signature(s) if len(s) else s for s in sets])
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), last], names=["doc_id", "n", "h1", "h2", "set" if with_sets else "sig"])
+                    last = {"set": sets} if with_sets else {"sig": [_signature(s) if len(s) else s for s in sets], "bits": [_sketch(s) if len(s) else s for s in sets]}
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), *map(_lists, last.values())], names=["doc_id", "n", "h1", "h2", *last])
 
     return run
 
 
 def shingled(df: DataFrame, id_col: str, text_col: str, with_sets: bool) -> DataFrame:
-    """(doc_id, n, h1, h2, set or sig) of every row: n shingles, two hashes of the whole set."""
+    """(doc_id, n, h1, h2, and set or sig and bits) of every row: n shingles, two hashes of the whole set."""
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _kernel(with_sets), f"doc_id {kind}, n long, h1 long, h2 long, {'set' if with_sets else 'sig'} array<long>")
+        _kernel(with_sets), f"doc_id {kind}, n long, h1 long, h2 long, {'set' if with_sets else 'sig array<long>, bits'} array<long>")
 
 
 def _alike(na: Column, nb: Column, percent: int) -> Column:
@@ -99,11 +117,15 @@ def _alike(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
+def _flips(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, least: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that agree in enough coordinates and then on their whole sets."""
-    side = lambda x: classes.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    side = lambda x: classes.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("bits").alias(f"b{x}"))
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda m, x: m + x)
-    likely = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent)).where(equal >= least).select("a", "b", "na", "nb"))
+    likely = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent)).where(_flips("ba", "bb") <= most_flips(percent / 100)).where(equal >= least).select("a", "b", "na", "nb"))
     used = likely.select(F.explode(F.array("a", "b")).alias("gid")).distinct().join(classes.select("gid", "rep", "h1", "h2"), "gid")
     used = scratch.keep(used)
     texts = docs.join(used.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
@@ -130,7 +152,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = least_matches(percent / 100)
     sigs = scratch.keep(shingled(df, id_col, text_col, False))
     known = sigs.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     classes = scratch.keep(classes.withColumn("gid", F.monotonically_increasing_id()))
 
     # Postings, without those that only one class has; the rest by rarity, as far as the prefix goes.
@@ -138,20 +160,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often = posts.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     mine = posts.join(often, "tok").groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
     left = F.greatest(F.lit(0), F.lit(COORDS - least + 1) - (F.lit(COORDS) - F.size("t")))
-    prefix = mine.select("gid", F.explode(F.slice("t", F.lit(1), left)).alias("t")).select("gid", F.col("t.tok").alias("tok"))
-    prefix = scratch.keep(prefix.join(classes.select("gid", "n"), "gid"))
+    weight = F.aggregate("t", F.lit(0).cast("long"), lambda m, x: m + x["df"])
+    mine = scratch.keep(mine.select("gid", weight.alias("weight"), F.transform(F.slice("t", F.lit(1), left), lambda x: x["tok"]).alias("toks")).where(F.size("toks") > 0))
+    prefix = mine.select("gid", "weight", F.explode("toks").alias("tok"))
 
-    hubs = prefix.groupBy("tok").agg(F.min("gid").alias("b"))
+    hubs = prefix.groupBy("tok").agg(F.max_by("gid", F.struct(F.col("weight"), -F.col("gid"))).alias("b"))
     stars = prefix.join(hubs, "tok").where("gid <> b").select(F.col("gid").alias("a"), "b").distinct()
     links = _confirmed(stars, classes, df, id_col, text_col, percent, least, scratch)
     roots = scratch.keep(connected_components(links, "a", "b", scratch))
 
     # What stays apart after the stars: members of one list, but of different components.
-    at = prefix.join(roots.withColumnRenamed("node", "gid"), "gid", "left").select("gid", "tok", "n", F.coalesce("root", "gid").alias("root"))
+    at = prefix.select("gid", "tok").join(roots.withColumnRenamed("node", "gid"), "gid", "left").select("gid", "tok", F.coalesce("root", "gid").alias("root"))
     split = at.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("tok")
-    at = scratch.keep(at.join(split, "tok"))
-    one, two = at.select("tok", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), at.select("tok", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    apart = one.join(two, "tok").where("ra < rb").where(_alike(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    at = at.join(split, "tok").join(classes.select("gid", "n", "bits"), "gid").join(mine.select("gid", "toks"), "gid")
+    at = scratch.keep(at)
+    one, two = (at.select("tok", *(F.col(c).alias(c + x) for c in ("gid", "n", "root", "bits", "toks"))) for x in "ab")
+    near = _alike(F.col("na"), F.col("nb"), percent) & (_flips("bitsa", "bitsb") <= most_flips(percent / 100))
+    first = F.array_min(F.array_intersect("toksa", "toksb")) == F.col("tok")
+    apart = one.join(two, "tok").where((F.col("roota") < F.col("rootb")) & near & first).select(F.col("gida").alias("a"), F.col("gidb").alias("b"))
     more = _confirmed(apart, classes, df, id_col, text_col, percent, least, scratch)
     roots = scratch.keep(connected_components(links.unionByName(more), "a", "b", scratch))
 
@@ -159,7 +185,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = owner.groupBy("root").agg(F.min("rep").alias("component_id"))
     owner = owner.join(first, "root").select("h1", "h2", "component_id")
     free = F.col("doc_id").isNull() | (F.col("n") == 0)
-    out = sigs.drop("sig").join(owner, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", F.when(free, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = sigs.drop("sig", "bits").join(owner, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", F.when(free, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
