@@ -126,7 +126,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     side = lambda x: classes.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("bits").alias(f"b{x}"))
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda m, x: m + x)
     likely = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent)).where(_flips("ba", "bb") <= most_flips(percent / 100)).where(equal >= least).select("a", "b", "na", "nb"))
-    used = likely.select(F.explode(F.array("a", "b")).alias("gid")).distinct().join(classes.select("gid", "rep", "h1", "h2"), "gid")
+    used = likely.select(F.col("a").alias("gid")).distinct().union(likely.select("b").distinct()).distinct().join(classes.select("gid", "rep", "h1", "h2"), "gid")
     used = scratch.keep(used)
     texts = docs.join(used.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
     sets = shingled(texts, id_col, text_col, True).join(used.select("gid", "h1", "h2"), ["h1", "h2"]).select("gid", "set")
