@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm import chat, minhash, packing, secrets, sharding
+from rillgraph.llm import chat, minhash, packing, secrets, sharding, substrings, vectors
 from rillgraph.runtime import table
 
 
@@ -26,6 +26,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -39,6 +43,16 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.named(F.col("base_spans")), 256).alias("base_sha256"), secrets.named(F.col("spans")).alias("spans"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.repeated(table(spark, sf_dir, "documents"))
+    words = F.trim(F.regexp_replace("kept", r"[\x09-\x0D\x20]+", " "))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
