@@ -117,15 +117,19 @@ def _alike(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def _flips(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+def _close(a: str, b: str, similarity: float) -> Column:
+    """Whether two sketches allow the similarity: their first quarter as generated code, then all of them."""
+    flips = lambda i: F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    few = sum((flips(i) for i in range(1, BITS // 256)), flips(0)) <= most_flips(similarity, BITS // 4)
+    each = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return few & (F.aggregate(each, F.lit(0), lambda m, x: m + x) <= most_flips(similarity))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, least: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that agree in enough coordinates and then on their whole sets."""
     side = lambda x: classes.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("bits").alias(f"b{x}"))
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda m, x: m + x)
-    likely = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent)).where(_flips("ba", "bb") <= most_flips(percent / 100)).where(equal >= least).select("a", "b", "na", "nb"))
+    likely = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent)).where(_close("ba", "bb", percent / 100)).where(equal >= least).select("a", "b", "na", "nb"))
     used = likely.select(F.col("a").alias("gid")).distinct().union(likely.select("b").distinct()).distinct().join(classes.select("gid", "rep", "h1", "h2"), "gid")
     used = scratch.keep(used)
     texts = docs.join(used.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
@@ -175,7 +179,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = at.join(split, "tok").join(classes.select("gid", "n", "bits"), "gid").join(mine.select("gid", "toks"), "gid")
     at = scratch.keep(at)
     one, two = (at.select("tok", *(F.col(c).alias(c + x) for c in ("gid", "n", "root", "bits", "toks"))) for x in "ab")
-    near = _alike(F.col("na"), F.col("nb"), percent) & (_flips("bitsa", "bitsb") <= most_flips(percent / 100))
+    near = _alike(F.col("na"), F.col("nb"), percent) & _close("bitsa", "bitsb", percent / 100)
     first = F.array_min(F.array_intersect("toksa", "toksb")) == F.col("tok")
     apart = one.join(two, "tok").where((F.col("roota") < F.col("rootb")) & near & first).select(F.col("gida").alias("a"), F.col("gidb").alias("b"))
     more = _confirmed(apart, classes, df, id_col, text_col, percent, least, scratch)
