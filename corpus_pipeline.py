@@ -1,5 +1,58 @@
-STAGES, ORACLE_SQL = [], None
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillgraph.llm import minhash, packing, secrets, substrings, toxicity
+from rillgraph.runtime import Scratch, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the classifier takes for toxic; it is fitted on the labelled documents of ``sf_dir``."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.withColumn("__text", F.col("text")), model, "__text", carry=docs.columns)
+    return scored.where("score < 0.5").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without passages of 20 words that occur earlier. Documents that lose all their words go."""
+    left = substrings.remove_repeats(docs)
+    return left.where(F.col("text").isNull() | (F.length("text") > 0))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With every secret replaced by a mark; no document goes."""
+    found = secrets.scan(docs, carry=docs.columns)
+    text = F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    size = F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[{"text": text, "n_chars": size}.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_copies), ("substring_dedup", cut_repeats), ("secrets", redact_secrets), ("packing", pack_windows)]
+
+#: No stage but the fourth can be said in SQL; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the stages before it are written to the shared folder."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
