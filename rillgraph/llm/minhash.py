@@ -164,7 +164,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often = posts.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     mine = posts.join(often, "tok").groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
     left = F.greatest(F.lit(0), F.lit(COORDS - least + 1) - (F.lit(COORDS) - F.size("t")))
-    weight = F.aggregate("t", F.lit(0).cast("long"), lambda m, x: m + x["df"])
+    # The most central member of a list is the one whose coordinates are common throughout; logarithms keep a passage that
+    # very many others share from deciding that.
+    weight = F.aggregate("t", F.lit(0.0), lambda m, x: m + F.log2(x["df"].cast("double")))
     mine = scratch.keep(mine.select("gid", weight.alias("weight"), F.transform(F.slice("t", F.lit(1), left), lambda x: x["tok"]).alias("toks")).where(F.size("toks") > 0))
     prefix = mine.select("gid", "weight", F.explode("toks").alias("tok"))
 
