@@ -61,10 +61,6 @@ class Policy:
     bins: int = 0
 
 
-def _median_log(c, d):
-    return F.log10
-
-
 POLICIES = {
     p.name: p
     for p in (

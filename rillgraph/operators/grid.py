@@ -55,7 +55,7 @@ def halo(df: DataFrame, coords: list[str], size: list[int]) -> DataFrame:
     for c, s in zip(coords, size):
         own = F.floor(F.col(c) / s) * s
         near = F.array_distinct(F.array(own, F.floor((F.col(c) - 1) / s) * s, F.floor((F.col(c) + 1) / s) * s))
-        out = out.withColumn(f"b_{c}", F.explode(F.filter(near, lambda b: b >= 0)).cast("long"))
+        out = out.withColumn(f"b_{c}", F.explode(F.filter(near, lambda b: b >= 0)))
     return out
 
 
