@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm import chat, minhash, packing, secrets, sharding, substrings, toxicity, vectors
+from rillgraph.llm import chat, minhash, packing, pieces, secrets, sharding, substrings, toxicity, vectors
 from rillgraph.runtime import table
 
 
@@ -26,6 +26,13 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load()
+    docs = table(spark, sf_dir, "documents").withColumn("whole", F.xxhash64("text"))
+    coded = pieces.decode(pieces.encode(docs, model, carry=["doc_id", "whole"]), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), (F.xxhash64("decoded") == F.col("whole")).alias("round_trip"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
