@@ -2,8 +2,8 @@
 
 Documents with one set of shingles form a class. Each class is posted under each (coordinate, value) pair of its
 signature. Two classes with ``least`` equal coordinates share one of the ``COORDS - least + 1`` rarest postings of
-each (prefix), so only those are merged and the longest lists are skipped. What the lists bring together is counted
-on the whole signatures, and what passes is confirmed on the whole sets.
+each (prefix), so only those are merged and the longest lists are skipped. Of what the lists bring together equal
+coordinates are counted, on the signatures or on a longer sketch of them, and what passes is confirmed on the whole sets.
 
 Lists are first merged as stars around their most central member; only classes that are then in different components meet
 in pairs, each pair in the first list that both prefixes share, and only if a sketch of 1024 one-bit signatures
@@ -125,11 +125,17 @@ def _close(a: str, b: str, similarity: float) -> Column:
     return few & (F.aggregate(each, F.lit(0), lambda m, x: m + x) <= most_flips(similarity))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, least: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that agree in enough coordinates and then on their whole sets."""
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
+    """The pairs (a, b) that agree in enough coordinates and whose sizes and sketches allow the similarity, with their sizes."""
     side = lambda x: classes.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("bits").alias(f"b{x}"))
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda m, x: m + x)
-    likely = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent)).where(_close("ba", "bb", percent / 100)).where(equal >= least).select("a", "b", "na", "nb"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent))
+    return both.where(_close("ba", "bb", percent / 100)).where(equal >= least).select("a", "b", "na", "nb")
+
+
+def _confirmed(likely: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b, na, nb) whose whole sets have the similarity."""
+    likely = scratch.keep(likely)
     used = likely.select(F.col("a").alias("gid")).distinct().union(likely.select("b").distinct()).distinct().join(classes.select("gid", "rep", "h1", "h2"), "gid")
     used = scratch.keep(used)
     texts = docs.join(used.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
@@ -172,7 +178,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     hubs = prefix.groupBy("tok").agg(F.max_by("gid", F.struct(F.col("weight"), -F.col("gid"))).alias("b"))
     stars = prefix.join(hubs, "tok").where("gid <> b").select(F.col("gid").alias("a"), "b").distinct()
-    links = _confirmed(stars, classes, df, id_col, text_col, percent, least, scratch)
+    links = _confirmed(_likely(stars, classes, percent, least), classes, df, id_col, text_col, percent, scratch)
     roots = scratch.keep(connected_components(links, "a", "b", scratch))
 
     # What stays apart after the stars: members of one list, but of different components.
@@ -183,8 +189,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one, two = (at.select("tok", *(F.col(c).alias(c + x) for c in ("gid", "n", "root", "bits", "toks"))) for x in "ab")
     near = _alike(F.col("na"), F.col("nb"), percent) & _close("bitsa", "bitsb", percent / 100)
     first = F.array_min(F.array_intersect("toksa", "toksb")) == F.col("tok")
-    apart = one.join(two, "tok").where((F.col("roota") < F.col("rootb")) & near & first).select(F.col("gida").alias("a"), F.col("gidb").alias("b"))
-    more = _confirmed(apart, classes, df, id_col, text_col, percent, least, scratch)
+    apart = one.join(two, "tok").where((F.col("roota") < F.col("rootb")) & near & first).select(F.col("gida").alias("a"), F.col("gidb").alias("b"), "na", "nb")
+    more = _confirmed(apart, classes, df, id_col, text_col, percent, scratch)
     roots = scratch.keep(connected_components(links.unionByName(more), "a", "b", scratch))
 
     owner = classes.join(roots.withColumnRenamed("node", "gid"), "gid", "left").select("h1", "h2", "rep", F.coalesce("root", "gid").alias("root"))
