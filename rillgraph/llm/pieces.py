@@ -9,15 +9,20 @@ of each word's lattice, which are grouped by word and folded by a higher-order a
   This gives the model's own encoding because a piece is always made of better pieces. Viterbi would not: the scores of such
   a model are merge ranks, whose sums mean nothing.
 
-Characters without a piece become their bytes' pieces. Texts get their ids by joining their words to the lexicon of distinct
-words and putting them together again in order.
+Characters without a piece become their bytes' pieces. The lattice is built for the ``COMMON`` most frequent words of the corpus, a
+bounded table that every task can hold; a kernel puts the texts' ids together and encodes the rest of the words, which are
+mostly met once, by the same two rules on the same piece table. README.md has the figures of joining all words instead.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from math import inf
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from rillgraph.runtime import Scratch
 
 SPACE = "▁"
+#: Words of the common table, and how long they may be; words that a task remembers besides.
+COMMON, LONGEST, REMEMBERED = 65_536, 64, 200_000
 
 
 @dataclass(frozen=True)
@@ -127,23 +134,105 @@ def lexicon(words: DataFrame, model: Model) -> DataFrame:
     return lattice.withColumn("path", path).select("word", F.flatten(F.transform("path", ids)).alias("ids"))
 
 
-def encode(df: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+def by_merging(word: str, rank: dict[str, float]) -> list[str]:
+    """Segments of one word: the best pair of neighbours that is a piece is joined, the first of equals, until none is."""
+    parts = list(word)
+    if len(parts) <= LONGEST:
+        while len(parts) > 1:
+            best, at = min((rank.get(a + b, inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if best == inf:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+    after, before = [*range(1, len(parts)), -1], list(range(-1, len(parts) - 1))
+    heap = [(rank[p], i, p) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in rank]
+    heapify(heap)
+    while heap:
+        _, i, p = heappop(heap)
+        j = after[i] if parts[i] else -1
+        if j < 0 or parts[i] + parts[j] != p:
+            continue
+        parts[i], parts[j], after[i] = p, "", after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y >= 0 and (q := parts[x] + parts[y]) in rank:
+                heappush(heap, (rank[q], x, q))
+    return [p for p in parts if p]
+
+
+def by_viterbi(word: str, score: dict[str, float], longest: int, least: float) -> list[str]:
+    """Segments of the best path; characters that are no piece cost more than any."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        found = (least - 10.0 + best[end - 1][0], end - 1)
+        for start in range(max(0, end - longest), end):
+            if (s := score.get(word[start:end])) is not None and s + best[start][0] > found[0]:
+                found = (s + best[start][0], start)
+        best.append(found)
+    out, end = [], len(word)
+    while end:
+        out.append(word[best[end][1] : end])
+        end = best[end][1]
+    return out[::-1]
+
+
+def _assemble(model: Model, common):
+    """Texts to lists of ids; ``common`` is a broadcast of {word: ids}."""
+    split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, extra = common.value, {}
+        ids = {p: i for p, i, _ in model.pieces}
+        if model.kind == "bpe":
+            rank = {p: -s for p, _, s in model.pieces}
+            cut = lambda w: by_merging(w, rank)
+        else:
+            score, longest, least = {p: s for p, _, s in model.pieces}, max(len(p) for p, _, _ in model.pieces), min(s for _, _, s in model.pieces)
+            cut = lambda w: by_viterbi(w, score, longest, least)
+
+        def rare(word: str) -> list[int]:
+            if (out := extra.get(word)) is None:
+                out = [i for p in cut(word) for i in ([ids[p]] if p in ids else [model.bytes[b] for b in p.encode()])]
+                if len(extra) >= REMEMBERED:
+                    extra.clear()
+                extra[word] = out
+            return out
+
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                batch = whole.slice(lo, 256)
+                lists = []
+                for text in batch.column(batch.num_columns - 1).to_pylist():
+                    marked = (SPACE if model.dummy else "") + text.replace(" ", SPACE) if text else ""
+                    found: list[int] = []
+                    for w in split.findall(marked):
+                        found += known.get(w) or rare(w)
+                    lists.append(np.array(found, np.int32))
+                ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+                flat = pa.array(np.concatenate([np.empty(0, np.int32), *lists]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, flat)], names=[*batch.schema.names[:-1], "ids"])
+
+    return run
+
+
+def encode(df: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (none if None) of every row with ``ids``, the piece ids of its text.
 
     Null text counts as empty and has no ids. Repeated rows are encoded each; an empty table gives an empty result; a
-    carried column may not be named ids. Carried columns go along with every word, so they should be small.
+    carried column may not be named ids. The driver holds the common words' ids, COMMON of them at most.
     """
-    scratch = scratch or Scratch(df.sparkSession)
     carry = carry or []
-    names = [f"c{i}" for i in range(len(carry))]
     words = _words(F.coalesce(F.col(text_col).cast("string"), F.lit("")), model)
-    known = scratch.keep(df.select(F.explode(words).alias("word")).distinct())
-    known = scratch.keep(lexicon(known, model))
-    rows = df.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], words.alias("words")).withColumn("row", F.monotonically_increasing_id())
-    spots = rows.select("row", *names, F.posexplode_outer("words").alias("pos", "word")).join(known, "word", "left")
-    lines = spots.groupBy("row").agg(*[F.first(n).alias(n) for n in names], F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    ids = F.flatten(F.transform(F.filter("parts", lambda p: p["pos"].isNotNull()), lambda p: p["ids"]))
-    return lines.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], ids.alias("ids"))
+    counts = df.select(F.explode(words).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
+    frequent = counts.orderBy(F.desc("n"), "word").limit(COMMON).select("word")
+    common = {w: list(i) for w, i in lexicon(Scratch(df.sparkSession).keep(frequent), model).collect()}
+    run = _assemble(model, df.sparkSession.sparkContext.broadcast(common))
+    names = [f"c{i}" for i in range(len(carry))]
+    kinds = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for n, c in zip(names, carry))
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], F.col(text_col).cast("string").alias("text"))
+    out = rows.mapInArrow(run, f"{kinds}ids array<int>")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "ids")
 
 
 def decode(df: DataFrame, model: Model, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
