@@ -138,11 +138,16 @@ def by_merging(word: str, rank: dict[str, float]) -> list[str]:
     """Segments of one word: the best pair of neighbours that is a piece is joined, the first of equals, until none is."""
     parts = list(word)
     if len(parts) <= LONGEST:
-        while len(parts) > 1:
-            best, at = min((rank.get(a + b, inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == inf:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        get = rank.get
+        pairs = [get(a + b, inf) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) != inf:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], inf)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], inf)
         return parts
     after, before = [*range(1, len(parts)), -1], list(range(-1, len(parts) - 1))
     heap = [(rank[p], i, p) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in rank]
