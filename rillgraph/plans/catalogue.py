@@ -115,11 +115,17 @@ query("crop_halo", f"WITH {PX} SELECT x//40*40 AS b_x, y//16*16 AS b_y, count(*)
 query("num_elements", "SELECT vec_id, len(embedding)::INT AS n FROM embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", F.size("embedding").alias("n")))
 query("chunk_scan", f"WITH {PX} SELECT x, y, v FROM px WHERE x >= 100 AND x < 130 AND y >= 10 AND y < 40")(
     lambda s, d: grid.pixels(table(s, d, "embeddings").where("vec_id >= 100 and vec_id < 130")).where("y >= 10 and y < 40").select("x", "y", "v"))
-for _n, _c, _s in (("min", F.array_min("embedding"), "list_min(embedding)"), ("max", F.array_max("embedding"), "list_max(embedding)")):
-    query(f"channel_{_n}", f"SELECT vec_id, {_s} AS a FROM embeddings")(lambda s, d, c=_c: table(s, d, "embeddings").select("vec_id", c.alias("a")))
-_total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-query("channel_sum", "SELECT vec_id, round(list_sum([x::DOUBLE for x in embedding]), 9) AS a FROM embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", r9(_total).alias("a")))
-query("channel_avg", "SELECT vec_id, round(list_sum([x::DOUBLE for x in embedding]) / len(embedding), 9) AS a FROM embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", r9(_total / F.size("embedding")).alias("a")))
+for _n, _c, _s in (("min", F.array_min, "list_min(embedding)"), ("max", F.array_max, "list_max(embedding)")):
+    query(f"channel_{_n}", f"SELECT vec_id, {_s} AS a FROM embeddings")(lambda s, d, c=_c: table(s, d, "embeddings").select("vec_id", c("embedding").alias("a")))
+
+
+
+def _total():
+    return F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+
+query("channel_sum", "SELECT vec_id, round(list_sum([x::DOUBLE for x in embedding]), 9) AS a FROM embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", r9(_total()).alias("a")))
+query("channel_avg", "SELECT vec_id, round(list_sum([x::DOUBLE for x in embedding]) / len(embedding), 9) AS a FROM embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", r9(_total() / F.size("embedding")).alias("a")))
 
 
 def _chunk_dims(s, d):
