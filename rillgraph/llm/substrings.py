@@ -207,8 +207,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Documents of which nothing is left stay as rows with an empty text; a null text stays null.
     """
-    done = repeated(df.withColumn("__text", F.col(text_col)), id_col, text_col, window, carry=[*df.columns, "__text"])
-    cols = {text_col: F.when(F.col("__text").isNotNull(), F.col("kept"))}
-    if length_col in df.columns:
-        cols[length_col] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col(length_col)).cast(df.schema[length_col].dataType)
-    return done.select(*[cols.get(c, F.col(c)).alias(c) for c in df.columns])
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    own = df.toDF(*names.values()).withColumn("__text", F.col(names[text_col]))
+    done = repeated(own, names[id_col], names[text_col], window, carry=own.columns)
+    cols = {c: F.col(n) for c, n in names.items()}
+    cols[text_col] = F.when(F.col("__text").isNotNull(), F.col("kept"))
+    if length_col in names:
+        cols[length_col] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(cols[length_col]).cast(df.schema[length_col].dataType)
+    return done.select(*[x.alias(c) for c, x in cols.items()])
