@@ -24,6 +24,7 @@ from math import inf
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from rillgraph.runtime import Scratch
 
 SPACE = "▁"
 #: Words of the common table, and how long they may be; words that a task remembers besides.
-COMMON, LONGEST, REMEMBERED = 65_536, 64, 200_000
+COMMON, LONGEST, REMEMBERED = 65_536, 64, 60_000
 
 
 @dataclass(frozen=True)
@@ -187,8 +188,11 @@ def _assemble(model: Model, common):
     split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, extra = common.value, {}
+        extra: dict[str, list[int]] = {}
         ids = {p: i for p, i, _ in model.pieces}
+        # One object for each id, however many words have it.
+        one = {i: i for i in [*ids.values(), *model.bytes]}
+        known = {w: [one[i] for i in x] for w, x in common.value.items()}
         if model.kind == "bpe":
             rank = {p: -s for p, _, s in model.pieces}
             cut = lambda w: by_merging(w, rank)
@@ -251,8 +255,11 @@ def decode(df: DataFrame, model: Model, ids_col: str = "ids", name: str = "decod
         for whole in batches:
             for lo in range(0, len(whole), 256):
                 batch = whole.slice(lo, 256)
-                lists = batch.column(batch.num_columns - 1).to_pylist()
-                texts = [None if x is None else b"".join([table[i] for i in x if i is not None and 0 <= i < size])[skip:].decode("utf-8", "replace") for x in lists]
+                column = batch.column(batch.num_columns - 1)
+                flat = column.flatten()
+                fine = not flat.null_count and (not len(flat) or (pc.min(flat).as_py() >= 0 and pc.max(flat).as_py() < size))
+                spell = (lambda x: [table[i] for i in x]) if fine else (lambda x: [table[i] for i in x if i is not None and 0 <= i < size])
+                texts = [None if x is None else b"".join(spell(x))[skip:].decode("utf-8", "replace") for x in column.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "decoded"])
 
     names = [f"c{i}" for i in range(len(df.columns))]
