@@ -225,8 +225,9 @@ def _assemble(model: Model, common):
     return run
 
 
-def encode(df: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (none if None) of every row with ``ids``, the piece ids of its text.
+def encode(df: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """The columns ``carry`` (none if None) of every row with ``ids``, the piece ids of its text, and with ``decoded``,
+    the text that those give, by the kernel of ``decode`` in the same worker, if that is asked for.
 
     Null text counts as empty and has no ids. Repeated rows are encoded each; an empty table gives an empty result; a
     carried column may not be named ids. The driver holds the common words' ids, COMMON of them at most.
@@ -240,13 +241,20 @@ def encode(df: DataFrame, model: Model, text_col: str = "text", carry: list[str]
     names = [f"c{i}" for i in range(len(carry))]
     kinds = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for n, c in zip(names, carry))
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"{kinds}ids array<int>")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "ids")
+    if not decoded:
+        return rows.mapInArrow(run, f"{kinds}ids array<int>").select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "ids")
+    spell = _spell(model)
 
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = (pa.RecordBatch.from_arrays([*b.columns, b.column(b.num_columns - 1)], names=[*b.schema.names, "again"]) for b in run(batches))
+        return spell(twice)
 
-def decode(df: DataFrame, model: Model, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """``df`` with the text of its ids. Pieces are joined as bytes, so characters that were spelt in bytes come back;
-    ids that are no pieces give nothing, null ids a null text. Arrow batches of id lists go through a kernel."""
+    out = rows.mapInArrow(both, f"{kinds}ids array<int>, decoded string")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "ids", "decoded")
+
+
+def _spell(model: Model):
+    """The last column, lists of ids, to texts."""
     spelt = {i: p.replace(SPACE, " ").encode() for p, i, _ in model.pieces} | {i: bytes([b]) for b, i in enumerate(model.bytes) if i != model.unknown}
     size = max(spelt) + 1
     table, skip = [spelt.get(i, b"") for i in range(size)], int(model.dummy)
@@ -262,7 +270,13 @@ def decode(df: DataFrame, model: Model, ids_col: str = "ids", name: str = "decod
                 texts = [None if x is None else b"".join(spell(x))[skip:].decode("utf-8", "replace") for x in column.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "decoded"])
 
+    return run
+
+
+def decode(df: DataFrame, model: Model, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+    """``df`` with the text of its ids. Pieces are joined as bytes, so characters that were spelt in bytes come back;
+    ids that are no pieces give nothing, null ids a null text. Arrow batches of id lists go through a kernel."""
     names = [f"c{i}" for i in range(len(df.columns))]
     kinds = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for n, c in zip(names, df.columns))
-    out = df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names)], F.col(ids_col).alias("ids")).mapInArrow(run, f"{kinds}decoded string")
+    out = df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names)], F.col(ids_col).alias("ids")).mapInArrow(_spell(model), f"{kinds}decoded string")
     return out.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names) if c != name], F.col("decoded").alias(name))

@@ -29,7 +29,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load()
     docs = table(spark, sf_dir, "documents").withColumn("whole", F.xxhash64("text"))
-    coded = pieces.decode(pieces.encode(docs, model, carry=["doc_id", "whole"]), model)
+    coded = pieces.encode(docs, model, carry=["doc_id", "whole"], decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), (F.xxhash64("decoded") == F.col("whole")).alias("round_trip"))
 
 
