@@ -32,7 +32,7 @@ from rillgraph.runtime import Scratch
 
 SPACE = "▁"
 #: Words of the common table, and how long they may be; words that a task remembers besides.
-COMMON, LONGEST, REMEMBERED = 65_536, 64, 60_000
+COMMON, LONGEST, REMEMBERED = 131_072, 64, 400_000
 
 
 @dataclass(frozen=True)
