@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,6 +162,43 @@ def test_pieces_match_the_library(spark):
     assert pieces.encode(df.limit(0), model, carry=["doc_id"]).collect() == []
 
 
+def test_merging_many_words_at_once():
+    model, r = pieces.load(), random.Random(5)
+    merger, rank = pieces.Merger(model), {p: -s for p, _, s in model.pieces}
+    ids = {p: i for p, i, _ in model.pieces}
+    stuff = [p for p, _, _ in r.sample(model.pieces, 300)] + ["\n", "漢", "\U0001f600", "▁", "▁", "a", "e", "th", "\x00"]
+    words = ["▁" + "".join(r.choice(stuff) for _ in range(r.randrange(0, 12))) for _ in range(4000)]
+    words += ["a", "a" * 64, "a" * 65, "ab" * 40, "\n" * 64, "▁" * 30]
+    flat, start, n = merger.merge(words)
+    for w, at, k in zip(words, start, n):
+        want = [x for p in pieces.by_merging(w, rank) for x in ([ids[p]] if p in ids else [model.bytes[b] for b in p.encode()])]
+        assert (k == -1 and len(w) > pieces.LONGEST) or flat[at : at + k].tolist() == want
+    assert all(len(x) == 0 for x in merger.merge([])[1:])
+
+
+def test_pieces_over_many_chunks(spark, monkeypatch):
+    """Texts of many chunks, with odd spaces among plain ones; pieces of equal score are merged by the rule for few."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(pieces, "COMMON", 20)
+    r, model = random.Random(8), pieces.load()
+    texts = ["".join(r.choice([" ", "the", "ing ", "x", "é\n", "  ", "▁", "漢", " word"]) for _ in range(r.randrange(0, 40))) for _ in range(400)] + [" a", "a ", " ", "z" * 500]
+    monkeypatch.setattr(pieces, "CHUNK", 300)
+    monkeypatch.setattr(pieces, "GATHER", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    shared = type("Shared", (), {"value": (pa.array([], pa.string()), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), pieces.Merger(model))})
+    out = list(pieces._assemble(model, shared)(iter([batch])))
+    assert len(out) > 20
+    assert [x for b in out for x in b.column(0).to_pylist()] == [sp.encode(t) for t in texts]
+    back = [x for b in pieces._spell(model)(iter(out)) for x in b.column(b.num_columns - 1).to_pylist()]
+    assert back == [t.replace("▁", " ") for t in texts]
+    equal = pieces.Model("bpe", [(p, i + 300, 0.0 if len(p) == 1 else -1.0) for i, p in enumerate(["▁", "a", "b", "ab", "ba", "▁a"])], list(range(256)), 0)
+    df = spark.createDataFrame([(0, "aba bab")], "doc_id long, text string")
+    assert pieces.decode(pieces.encode(df, equal, carry=["doc_id"]), equal).collect() == [(0, [305, 304, 300, 304, 302], "aba bab")]
+
+
 def test_viterbi_against_brute_force(spark):
     r = random.Random(2)
     made = {"".join(r.choice("ab") for _ in range(r.randrange(1, 5))) for _ in range(14)} | {"▁", "a"}
