@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillgraph.llm.skew import split_join
 from rillgraph.llm.words import _words, as_bytes, chunks, hash_words, mix
 from rillgraph.runtime import Scratch
 
@@ -180,23 +181,27 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     classes = scratch.keep(classes.withColumn("rank", rank.cast("long")))
 
     posts = scratch.keep(df.select(hashes[0], text.alias("text")).mapInArrow(_post(window), "h1 long, key long, often boolean"))
-    again = posts.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("often").alias("often")).where("often or a <> b").select("key")
-    keys = posts.join(again, "key").groupBy("h1").agg(F.collect_set("key").alias("keys"))
+    again = posts.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("often").alias("often"), F.count("*").alias("n"))
+    again = scratch.keep(again.where("often or a <> b").select("key", "n"))
+    keys = split_join(posts, again, "key", ["h1"], posts.count()).groupBy("h1").agg(F.collect_set("key").alias("keys"))
     keys = scratch.keep(keys)
-    scratch.drop(posts)
+    scratch.drop(posts, again)
 
     first = df.select(key.alias("doc"), *hashes, text.alias("text")).join(classes.join(keys, "h1"), ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2"])
     found = scratch.keep(first.select("doc", "rank", "text", "keys").mapInArrow(_windows(window), "w long, doc long, pos long"))
-    early = found.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("early"), F.count("*").alias("n")).where("n > 1").select("w", "early")
-    late = found.join(early, "w").where(F.struct("doc", "pos") > F.col("early"))
+    early = found.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("early"), F.count("*").alias("n")).where("n > 1")
+    early = scratch.keep(early)
+    late = split_join(found, early, "w", ["doc", "pos"], found.count()).where(F.struct("doc", "pos") > F.col("early"))
     late = late.groupBy("doc", F.shiftright("pos", 32).alias("rank")).agg(F.collect_list(F.col("pos").bitwiseAND(F.lit(2**32 - 1))).alias("starts"))
-    marks = scratch.keep(classes.join(late, ["doc", "rank"], "left").select("h1", "h2", "doc", "starts"))
-    scratch.drop(found, keys)
+    marks = classes.join(late, ["doc", "rank"], "left").select("h1", "h2", F.col("doc").alias("own"), F.lit(True).alias("first"), "starts")
+    marks = scratch.keep(marks)
+    scratch.drop(found, early, keys)
 
     carry = carry if carry is not None else [id_col]
     named = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
-    rows = df.select(*named, key.alias("own"), *hashes, text.alias("text")).join(marks, ["h1", "h2"])
-    rows = rows.select(*[f"c{i}" for i in range(len(carry))], "text", (F.col("own") != F.col("doc")).alias("again"), "starts")
+    # A row that is not the first of its text finds no marks; the id in the key spreads the copies of one text.
+    rows = df.select(*named, key.alias("own"), *hashes, text.alias("text")).join(marks, ["h1", "h2", "own"], "left")
+    rows = rows.select(*[f"c{i}" for i in range(len(carry))], "text", F.col("first").isNull().alias("again"), "starts")
     kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     out = rows.mapInArrow(_cut(window), f"{kinds}, n_words long, n_removed long, kept string")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_words", "n_removed", "kept")

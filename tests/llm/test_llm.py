@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillgraph.llm import chat, minhash, packing, pieces, registry, secrets, sharding, substrings, toxicity, vectors
+from rillgraph.llm import chat, minhash, packing, pieces, registry, secrets, sharding, skew, substrings, toxicity, vectors
 from rillgraph.runtime import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -462,3 +462,15 @@ def test_pipeline(spark):
     text = now.select(F.concat_ws("\n", F.collect_list("text"))).first()[0]
     assert not any(m for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24)
     assert corpus_pipeline.run(spark, SF).count() == last.count()
+
+
+# joins
+
+
+def test_split_join_deals_a_hot_key(spark):
+    many = spark.range(20000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 700).alias("k"), "id")
+    few = many.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("k < 300")
+    got = skew.split_join(many, few, "k", ["id"], many.count())
+    assert got.columns == ["k", "id", "least"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(few.drop("n"), "k").collect()))
+    assert skew.split_join(many.limit(0), few.limit(0), "k", ["id"], 0).collect() == []
