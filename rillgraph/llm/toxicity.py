@@ -6,7 +6,8 @@ are its evidence. A logistic curve, fitted on labelled texts that the dictionari
 largest, total and mean saving into a score whose threshold is one half.
 
 The dictionaries' content is chosen by document counts of five-byte pieces of words and loaded as raw content. zstandard's own
-trainer looks for whatever is frequent, which is the prose that both kinds share; README.md has the figures.
+trainer looks for whatever is frequent, which is the prose that both kinds share; README.md has the figures. Pieces, stretches and
+the evidence of the texts that fit the curve are gathered by the executors from whole texts; the driver sees no text.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgraph.llm.words import as_bytes
+from rillgraph.runtime import Scratch
 
 GRAM, SIZE, WINDOW, LEVEL = 5, 4096, 250, 6
-#: Labelled rows that are looked at, for each label, and characters of each that are.
-TOXIC_ROWS, ORDINARY_ROWS, CHARS = 3000, 4000, 20_000
+#: Labelled rows that are looked at, for each label.
+TOXIC_ROWS, ORDINARY_ROWS = 3000, 4000
+#: Pieces that a dictionary is made of and stretches of them that it is filled from, the most frequent ones.
+PIECES, STRETCHES = 100_000, 4000
 #: Of these, one in so many fits the curve and the others make the dictionaries.
 CALIBRATE = 3
 
@@ -42,31 +46,66 @@ def _pieces(text: bytes) -> set[bytes]:
     return {p for p in {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)} if b" " not in p[1:-1]}
 
 
-def _own(mine: list[bytes], others: list[bytes]) -> bytes:
-    """Dictionary content: the stretches of ``mine`` whose pieces are at least 20 times as frequent there, most frequent last."""
-    here, there = (Counter(p for t in texts for p in _pieces(t)) for texts in (mine, others))
-    n, m = len(mine), max(1, len(others))
-    own = {p for p, c in here.items() if c >= max(3, 0.002 * n) and c / n >= 20 * (there[p] + 0.5) / m}
-    found: Counter[bytes] = Counter()
-    for text in mine:
-        runs, i = set(), 0
-        while i <= len(text) - GRAM:
-            if text[i : i + GRAM] not in own:
-                i += 1
-                continue
-            j = i
-            while text[j + 1 : j + 1 + GRAM] in own:
-                j += 1
-            runs.add(text[i : j + GRAM])
-            i = j + 1
-        found.update(runs)
+def _stretches(text: bytes, own: set[bytes]) -> set[bytes]:
+    """The longest stretches whose pieces are all in ``own``, if they fit a dictionary."""
+    found, i = set(), 0
+    while i <= len(text) - GRAM:
+        if text[i : i + GRAM] not in own:
+            i += 1
+            continue
+        j = i
+        while text[j + 1 : j + 1 + GRAM] in own:
+            j += 1
+        if j + GRAM - i < SIZE:
+            found.add(text[i : j + GRAM])
+        i = j + 1
+    return found
+
+
+def _content(stretches: list[bytes]) -> bytes:
+    """Dictionary content from stretches, the most frequent first; they stand last, where matches are cheapest."""
     out = b""
-    for run, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+    for run in stretches:
         if run not in out and len(out) + len(run) < SIZE:
             out = run + b"\n" + out
     return out.rjust(16, b"\n")
 
 
+def _counted(sample: DataFrame, parts) -> DataFrame:
+    """(y, part, n): how many texts of either label have each of the byte strings that ``parts(text, y)`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                batch = whole.slice(lo, 256)
+                found: Counter[tuple[int, bytes]] = Counter()
+                for y, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                    found.update((y, x) for x in parts(plain(text.decode("utf-8", "replace")), y))
+                y, part = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(part, pa.binary()), pa.array(found.values(), pa.int64())], names=["y", "part", "n"])
+
+    return sample.select("y", "text").mapInArrow(run, "y int, part binary, n long").groupBy("y", "part").agg(F.sum("n").alias("n"))
+
+
+def _first(df: DataFrame, n: int) -> list[bytes]:
+    return [bytes(r["part"]) for r in df.orderBy(F.desc("n"), "part").limit(n).collect()]
+
+
+def dictionaries(sample: DataFrame, sizes: dict[int, int]) -> list[bytes]:
+    """Content of the ordinary and the toxic dictionary from the rows (y, text) of ``sample``, of which ``sizes`` are of either label.
+
+    A dictionary is made of the stretches of its texts whose pieces are at least 20 times as frequent there.
+    """
+    both = _counted(sample, lambda text, y: _pieces(text)).groupBy("part").agg(*(F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)))
+    own = []
+    for y in (0, 1):
+        here, there, n, m = F.col(f"n{y}"), F.col(f"n{1 - y}"), sizes[y], max(1, sizes[1 - y])
+        often = (here >= F.lit(max(3.0, 0.002 * n))) & (here / n >= 20 * (there + 0.5) / m)
+        own.append(set(_first(both.where(often).select("part", here.alias("n")), PIECES)))
+    runs = _counted(sample, lambda text, y: _stretches(text, own[y]))
+    return [_content(_first(runs.where(F.col("y") == y), STRETCHES)) for y in (0, 1)]
+
+
 def _windows(text: bytes) -> Iterator[bytes]:
     """Runs of whole words, of WINDOW bytes or a little less; a longer word is a window."""
     at = 0
@@ -105,16 +144,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from two thirds of the texts, the curve from the rest; with too few texts a constant score."""
-    constant = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
-    parts = [[t for i, t in enumerate(x) if (i % CALIBRATE == 0) == fresh] for fresh in (False, True) for x in (toxic, ordinary)]
-    if not all(parts):
-        return Model(b"\n" * 16, b"\n" * 16, None, constant)
-    a, b = ([plain(t) for t in x] for x in parts[:2])
-    model = Model(_own(a, b), _own(b, a), None, constant)
-    x = model.features(parts[2] + parts[3])
-    y = np.r_[np.ones(len(parts[2])), np.zeros(len(parts[3]))]
+def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the logistic curve through the features ``x`` and labels ``y``, by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -122,26 +153,51 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
         w += step
         if abs(step).max() < 1e-8:
             break
-    model.weights = w
-    return model
+    return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows whose crc32 of the id as text is not divisible by 5.
+def _evidence(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                batch = whole.slice(lo, 256)
+                x = model.features([t.decode("utf-8", "replace") for t in as_bytes(batch.column(1))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
-    At most TOXIC_ROWS toxic and ORDINARY_ROWS ordinary rows are used, those with the least hashes of their ids, and the first
-    CHARS characters of each, so the driver gets 140 million characters at most. Ids with both labels count as toxic;
-    null labels and null ids are left out; of repeated ids one text is used.
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", scratch: Scratch | None = None) -> Model:
+    """Fit on whole labelled texts whose crc32 of the id as text is not divisible by 5.
+
+    The sample is TOXIC_ROWS toxic and ORDINARY_ROWS ordinary rows at most, those with the least hashes of their ids. Two thirds
+    make the dictionaries, the rest fits the curve; with too few texts the score is constant. The driver
+    gets PIECES pieces and STRETCHES stretches for each dictionary and four numbers for each text of the rest, at most. Ids with both
+    labels count as toxic; null labels and null ids are left out; of repeated ids the least text is used.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     fold = F.crc32(F.col(id_col).cast("string")) % 5
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold != 0)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
-    known = known.withColumn("__h", F.xxhash64(id_col))
-    one = lambda y, n: known.where(F.col("__y") == y).orderBy("__h", id_col).limit(n)
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold != 0))
+    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y")).withColumn("h", F.xxhash64("__id"))
+    one = lambda y, n: known.where(F.col("y") == y).orderBy("h", "__id").limit(n)
     some = one(1, TOXIC_ROWS).unionByName(one(0, ORDINARY_ROWS))
-    text = F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, CHARS)
-    rows = docs.select(id_col, text.alias("__text")).join(F.broadcast(some), id_col).dropDuplicates([id_col]).select("__y", "__h", "__text").collect()
-    rows.sort(key=lambda r: (r[1], r[2]))
-    return fit([t for y, _, t in rows if y == 1], [t for y, _, t in rows if y == 0])
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "__id")) - 1
+    some = some.select("__id", "y", (place % CALIBRATE == 0).alias("fresh"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(some), "__id").groupBy("__id", "y", "fresh").agg(F.min("text").alias("text"))
+    sample = scratch.keep(sample.select("y", "fresh", "text").repartition(32))
+    sizes = {(r["y"], r["fresh"]): r["count"] for r in sample.groupBy("y", "fresh").count().collect()}
+    toxic = sum(n for (y, _), n in sizes.items() if y == 1)
+    constant = (toxic + 0.5) / (sum(sizes.values()) + 1)
+    if len(sizes) < 4:
+        return Model(b"\n" * 16, b"\n" * 16, None, constant)
+    ordinary, toxic = dictionaries(sample.where(~F.col("fresh")), {y: sizes[y, False] for y in (0, 1)})
+    model = Model(toxic, ordinary, None, constant)
+    seen = sorted((r["y"], *r["x"]) for r in sample.where("fresh").select("y", "text").mapInArrow(_evidence(model), "y int, x array<double>").collect())
+    seen = np.array(seen, np.float64)
+    model.weights = curve(seen[:, 1:], seen[:, 0])
+    scratch.drop(sample)
+    return model
 
 
 def _kernel(model: Model):

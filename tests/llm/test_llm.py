@@ -428,7 +428,7 @@ def toxic_texts():
 
 def test_toxicity(spark):
     bad, good = toxic_texts()
-    rows = [(i, t) for i, t in enumerate(bad + good)]
+    rows = [(i, t) for i, t in enumerate(bad + good)] + [(4, "zwuckel " * 9), (5, bad[5])]
     labels = spark.createDataFrame([(i, int(i < len(bad)), 9) for i, _ in rows] + [(None, 1, 9), (3, None, 9)], "doc_id long, toxic int, quality int")
     df = docs(spark, rows + [(9000, None), (9001, ""), (None, "x"), (9002, "zwuckel " * 5000)])
     model = toxicity.train(df, labels)
