@@ -91,17 +91,19 @@ def _first(df: DataFrame, n: int) -> list[bytes]:
     return [bytes(r["part"]) for r in df.orderBy(F.desc("n"), "part").limit(n).collect()]
 
 
-def dictionaries(sample: DataFrame, sizes: dict[int, int]) -> list[bytes]:
+def dictionaries(sample: DataFrame, sizes: dict[int, int], scratch: Scratch) -> list[bytes]:
     """Content of the ordinary and the toxic dictionary from the rows (y, text) of ``sample``, of which ``sizes`` are of either label.
 
     A dictionary is made of the stretches of its texts whose pieces are at least 20 times as frequent there.
     """
     both = _counted(sample, lambda text, y: _pieces(text)).groupBy("part").agg(*(F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)))
+    both = scratch.keep(both)
     own = []
     for y in (0, 1):
         here, there, n, m = F.col(f"n{y}"), F.col(f"n{1 - y}"), sizes[y], max(1, sizes[1 - y])
         often = (here >= F.lit(max(3.0, 0.002 * n))) & (here / n >= 20 * (there + 0.5) / m)
         own.append(set(_first(both.where(often).select("part", here.alias("n")), PIECES)))
+    scratch.drop(both)
     runs = _counted(sample, lambda text, y: _stretches(text, own[y]))
     return [_content(_first(runs.where(F.col("y") == y), STRETCHES)) for y in (0, 1)]
 
@@ -191,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     constant = (toxic + 0.5) / (sum(sizes.values()) + 1)
     if len(sizes) < 4:
         return Model(b"\n" * 16, b"\n" * 16, None, constant)
-    ordinary, toxic = dictionaries(sample.where(~F.col("fresh")), {y: sizes[y, False] for y in (0, 1)})
+    ordinary, toxic = dictionaries(sample.where(~F.col("fresh")), {y: sizes[y, False] for y in (0, 1)}, scratch)
     model = Model(toxic, ordinary, None, constant)
     seen = sorted((r["y"], *r["x"]) for r in sample.where("fresh").select("y", "text").mapInArrow(_evidence(model), "y int, x array<double>").collect())
     seen = np.array(seen, np.float64)
