@@ -146,12 +146,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the logistic curve through the features ``x`` and labels ``y``, by Newton steps."""
+def curve(x: np.ndarray, y: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Weights of the logistic curve through the features ``x`` and labels ``y``, each row counted ``often`` times, by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), x.T @ (y - p) - 0.01 * w)
+        step = np.linalg.solve((x * (often * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), x.T @ (often * (y - p)) - 0.01 * w)
         w += step
         if abs(step).max() < 1e-8:
             break
@@ -173,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on whole labelled texts whose crc32 of the id as text is not divisible by 5.
 
     The sample is TOXIC_ROWS toxic and ORDINARY_ROWS ordinary rows at most, those with the least hashes of their ids. Two thirds
-    make the dictionaries, the rest fits the curve; with too few texts the score is constant. The driver
+    make the dictionaries, the rest fits the curve; with too few texts the score is constant. Either label's rows count in the curve
+    as often as the sample has too few of them, so the score's odds are those of all labelled texts, whatever the bounds. The driver
     gets PIECES pieces and STRETCHES stretches for each dictionary and four numbers for each text of the rest, at most. Ids with both
     labels count as toxic; null labels and null ids are left out; of repeated ids the least text is used.
     """
@@ -185,19 +186,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = one(1, TOXIC_ROWS).unionByName(one(0, ORDINARY_ROWS))
     place = F.row_number().over(Window.partitionBy("y").orderBy("h", "__id")) - 1
     some = some.select("__id", "y", (place % CALIBRATE == 0).alias("fresh"))
+    usable = known.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
+    usable = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(some), "__id").groupBy("__id", "y", "fresh").agg(F.min("text").alias("text"))
     sample = scratch.keep(sample.select("y", "fresh", "text").repartition(32))
     sizes = {(r["y"], r["fresh"]): r["count"] for r in sample.groupBy("y", "fresh").count().collect()}
-    toxic = sum(n for (y, _), n in sizes.items() if y == 1)
-    constant = (toxic + 0.5) / (sum(sizes.values()) + 1)
+    constant = (usable.get(1, 0) + 0.5) / (sum(usable.values()) + 1)
     if len(sizes) < 4:
         return Model(b"\n" * 16, b"\n" * 16, None, constant)
     ordinary, toxic = dictionaries(sample.where(~F.col("fresh")), {y: sizes[y, False] for y in (0, 1)}, scratch)
     model = Model(toxic, ordinary, None, constant)
     seen = sorted((r["y"], *r["x"]) for r in sample.where("fresh").select("y", "text").mapInArrow(_evidence(model), "y int, x array<double>").collect())
     seen = np.array(seen, np.float64)
-    model.weights = curve(seen[:, 1:], seen[:, 0])
+    often = np.array([usable[y] / (sizes[y, False] + sizes[y, True]) for y in (0, 1)])
+    model.weights = curve(seen[:, 1:], seen[:, 0], often[seen[:, 0].astype(int)])
     scratch.drop(sample)
     return model
 

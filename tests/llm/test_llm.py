@@ -440,6 +440,21 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), none).collect() == [] and {x.score for x in toxicity.score(df, none).collect()} == {0.5}
 
 
+def test_toxicity_has_the_odds_of_all_rows(spark, monkeypatch):
+    bad, good = toxic_texts()
+    # Two thirds of the toxic texts look like the others, so a text without evidence is toxic with a chance of about 0.3.
+    rows = list(enumerate(bad[:60] + good[:120] + [f"{t} {u}" for t, u in zip(good, good[1:] + good[:1])] + good[120:]))
+    labels = spark.createDataFrame([(i, int(i < 180)) for i, _ in rows] + [(i, 0) for i in range(10**6, 10**6 + 500)], "doc_id long, toxic int")
+    df = docs(spark, rows)
+    plain = [r for r in rows if r[0] >= 60]
+    whole = toxicity.train(df, labels)
+    monkeypatch.setattr(toxicity, "ORDINARY_ROWS", 100)
+    few = toxicity.train(df, labels)
+    for model in (whole, few):
+        score = np.mean([x.score for x in toxicity.score(docs(spark, plain), model).collect()])
+        assert abs(score - 120 / len(plain)) < 0.1
+
+
 # queries and pipeline
 
 
