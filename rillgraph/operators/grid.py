@@ -41,7 +41,7 @@ def linear(coords: list[Column], dims: list[int]) -> Column:
     return reduce(lambda rest, x: x[0] + F.lit(x[1]) * rest, list(zip(coords, dims))[-2::-1], coords[-1])
 
 
-def chunk_dims(offset: list[Column], dims: list[int], size: list[int]) -> list[Column]:
+def chunk_dims(offset: list[Column], dims: list[int | Column], size: list[int]) -> list[Column]:
     """Extent of a chunk, cut at the volume's end."""
     return [F.least(F.lit(d) - o, F.lit(s)) for o, d, s in zip(offset, dims, size)]
 

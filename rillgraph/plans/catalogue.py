@@ -129,8 +129,10 @@ query("channel_avg", "SELECT vec_id, round(list_sum([x::DOUBLE for x in embeddin
 
 
 def _chunk_dims(s, d):
-    at = px(s, d).where("x < 500").select(*[b.alias(n) for b, n in zip(grid.block_of([F.col("x"), F.col("y")], [30, 30]), ("ox", "oy"))]).distinct()
-    return at.select("ox", "oy", *[c.alias(n) for c, n in zip(grid.chunk_dims([F.col("ox"), F.col("oy")], [500, 64], [30, 30]), ("dx", "dy"))])
+    ends = table(s, d, "embeddings").agg((F.max("vec_id") + 1).alias("x_end"), F.max(F.size("embedding")).alias("y_end"))
+    at = px(s, d).select(*[b.alias(n) for b, n in zip(grid.block_of([F.col("x"), F.col("y")], [30, 30]), ("ox", "oy"))]).distinct()
+    at = at.crossJoin(F.broadcast(ends))
+    return at.select("ox", "oy", *[c.alias(n) for c, n in zip(grid.chunk_dims([F.col("ox"), F.col("oy")], [F.col("x_end"), F.col("y_end")], [30, 30]), ("dx", "dy"))])
 
 
 # Counts

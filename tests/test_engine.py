@@ -48,6 +48,12 @@ def test_merging_loop_is_single_linkage_for_max(spark, duck):
     same(spark, duck, "merge_max_final")
 
 
+def test_chunk_dims_of_the_whole_table(spark):
+    # sf0.1 has 2000 embeddings of 64 components.
+    got = {tuple(r) for r in catalogue.queries()["chunk_dims"](spark, "/root/testdata/sf0.1").select("ox", "oy", "dx", "dy").collect()}
+    assert got == {(x, y, min(30, 2000 - x), min(30, 64 - y)) for x in range(0, 2000, 30) for y in range(0, 64, 30)}
+
+
 def random_links(seed, n, m):
     r = random.Random(seed)
     return [(r.randrange(n), r.randrange(n)) for _ in range(m)]
