@@ -267,6 +267,11 @@ query("small_block_merge", "WITH RECURSIVE " + _CHEAP.replace("nodes AS", "nn AS
       + ", nodes AS (SELECT DISTINCT block AS node FROM nn), good AS (SELECT block src, target dst FROM cn WHERE block % 2 = 0), " + _CC + " SELECT node AS block, root FROM cc")(
     lambda s, d: _roots(s, d, merging.small_blocks(edges(s, d), nodes(s, d), "aff_only_max", 1 << 30).where("block % 2 = 0").select(F.col("block").alias("src"), F.col("target").alias("dst")), nodes(s, d).select(F.col("block").alias("node")).distinct()).withColumnRenamed("node", "block"))
 
+query("coalesce_blocks", "WITH RECURSIVE " + _CHEAP.replace("nodes AS", "nn AS").replace("JOIN nodes", "JOIN nn")
+      + ", nodes AS (SELECT DISTINCT block AS node FROM nn), good AS (SELECT block src, target dst FROM cn WHERE block IN (SELECT block FROM nn GROUP BY 1 HAVING count(*) < 40)), " + _CC
+      + " SELECT root AS block, nn.node, cnt FROM nn JOIN cc ON nn.block=cc.node")(
+    lambda s, d: merging.coalesce_blocks(edges(s, d), nodes(s, d), "aff_only_max", 40, Scratch(s)))
+
 
 @query("ghost_exchange", f"""WITH {_ENDS}, p AS (SELECT node, node - node % 2 AS root FROM nodes), nr AS (SELECT root AS node, sum(cnt)::BIGINT AS cnt FROM nodes JOIN p USING (node) GROUP BY 1),
 o AS (SELECT bs block, dst node, bd owner FROM eb WHERE bs<>bd UNION SELECT bd, src, bs FROM eb WHERE bs<>bd)

@@ -54,6 +54,16 @@ def test_chunk_dims_of_the_whole_table(spark):
     assert got == {(x, y, min(30, 2000 - x), min(30, 64 - y)) for x in range(0, 2000, 30) for y in range(0, 64, 30)}
 
 
+def test_coalesced_blocks_by_hand(spark):
+    # Blocks 1 (odd) and 4 have one node, 2 (even) has two and 3 has three; 5 is small and touches nothing.
+    n = spark.createDataFrame([(1, 10, 7), (2, 20, 1), (2, 21, 1), (3, 30, 1), (3, 31, 2), (3, 32, 1), (4, 40, 1), (5, 50, 1)], "block long, node long, cnt long")
+    e = spark.createDataFrame([(10, 20, 0.2, 1), (10, 30, 0.9, 1), (20, 30, 0.99, 1), (10, 40, 0.5, 1), (30, 31, 1.0, 1)], "src long, dst long, affinity double, multiplicity long")
+    e = e.withColumn("hist", F.lit(None).cast("array<bigint>"))
+    got = {(r.block, r.node, r.cnt) for r in merging.coalesce_blocks(e, n, "aff_only_max", 2, Scratch(spark)).collect()}
+    assert got == {(1, 10, 7), (2, 20, 1), (2, 21, 1), (1, 30, 1), (1, 31, 2), (1, 32, 1), (1, 40, 1), (5, 50, 1)}
+    assert "coalesce_blocks" in catalogue.queries()
+
+
 def random_links(seed, n, m):
     r = random.Random(seed)
     return [(r.randrange(n), r.randrange(n)) for _ in range(m)]
