@@ -158,7 +158,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null or blank text: no shingles, linked with nothing. Null id: linked with nothing, component_id null, kept.
     Repeated rows and equal texts share a component. An empty table gives an empty result. Other columns are not read.
     """
-    scratch = scratch or Scratch(df.sparkSession)
+    return _grouped(df, id_col, text_col, percent, scratch or Scratch(df.sparkSession)).drop("root")
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``root``, which names the component by its texts; null for rows linked with nothing.
+
+    Two components have one component_id if they have different texts of one id.
+    """
     least = least_matches(percent / 100)
     sigs = scratch.keep(shingled(df, id_col, text_col, False))
     known = sigs.where("n > 0 and doc_id is not null")
@@ -195,25 +202,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     owner = classes.join(roots.withColumnRenamed("node", "gid"), "gid", "left").select("h1", "h2", "rep", F.coalesce("root", "gid").alias("root"))
     first = owner.groupBy("root").agg(F.min("rep").alias("component_id"))
-    owner = owner.join(first, "root").select("h1", "h2", "component_id")
+    owner = owner.join(first, "root").select("h1", "h2", "component_id", "root")
     free = F.col("doc_id").isNull() | (F.col("n") == 0)
-    out = sigs.drop("sig", "bits").join(owner, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", F.when(free, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = sigs.drop("sig", "bits").join(owner, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", F.when(free, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~free, F.col("root")).alias("root"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of ``df``, unchanged, without all but one document of each group of near-duplicates.
+    """The rows of ``df``, unchanged, without all but one row of each group of near-duplicates.
 
-    The document with the group's smallest id stays. Rows that share an id are one document: it goes if any of its
-    texts has a near-duplicate with a smaller id, else one row of it stays. Rows with a null id all stay.
+    The row with the group's smallest id stays; of several with that id, the one whose text's and columns' hashes are least.
+    Rows that share an id but not their text go or stay each by its own text. Rows with a null id and rows without words, which are
+    linked with nothing, all stay.
     """
     scratch = Scratch(df.sparkSession)
-    marked = near_duplicates(df, id_col, text_col, percent, scratch)
+    marked = _grouped(df, id_col, text_col, percent, scratch)
+    again = scratch.keep(df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    repeated = bool(again.take(1))
+    if repeated:
+        marked = scratch.keep(marked)
     out = marked.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
     gone = scratch.keep(out)
-    rows = df.join(gone, id_col, "left_anti")
-    again = scratch.keep(df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
-    if not again.take(1):
-        return rows
-    twice = rows.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    return rows.join(again, id_col, "left_anti").unionByName(twice)
+    if not repeated:
+        return df.join(gone, id_col, "left_anti")
+    once = df.join(again, id_col, "left_anti").join(gone, id_col, "left_anti")
+
+    # Rows of repeated ids find their text's group by the hashes of its shingles.
+    rows = scratch.keep(df.join(again, id_col, "left_semi").withColumn("__row", F.monotonically_increasing_id()))
+    texts = shingled(rows, "__row", text_col, False).select(F.col("doc_id").alias("__row"), "n", "h1", "h2")
+    own = rows.select("__row", F.col(id_col).alias("doc_id"), F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).alias("h"))
+    own = scratch.keep(own.join(texts, "__row"))
+    first = marked.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("first")).select("root", "first.*")
+    stay = own.where("n > 0").join(first, ["doc_id", "h1", "h2"]).groupBy("root").agg(F.min(F.struct("h", "__row")).alias("m")).select("m.__row")
+    stay = stay.unionByName(own.where("n = 0").select("__row"))
+    return once.unionByName(rows.join(stay, "__row", "left_semi").drop("__row"))

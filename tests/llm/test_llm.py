@@ -141,6 +141,21 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_one_row_of_each_text_of_a_repeated_id(spark):
+    r = random.Random(4)
+    a, b, c, d, e = ([f"v{r.randrange(5000)}" for _ in range(60)] for _ in range(5))
+    near = " ".join([*c[:-1], "other"])
+    a, b, c, d, e = map(" ".join, (a, b, c, d, e))
+    # 5: b is a copy of 1's, a and c are not; 7: c's near copy goes for 5's c, d is clean, its upper-case copy goes; 3: both of its texts are the
+    # least of a group; 9 repeats a text of 3; 8: blank rows are linked with nothing.
+    rows = [(1, b), (5, a), (5, b), (5, c), (7, near), (7, d), (7, d.upper()), (3, e), (3, "x y z"), (9, "x y z"), (9, e), (6, e), (8, ""), (8, ""), (None, e), (None, e)]
+    want = {(1, b), (5, a), (5, c), (3, e), (3, "x y z"), (8, ""), (None, e)}
+    for some in (rows, rows[::-1]):
+        left = [(x.doc_id, x.text) for x in minhash.keep_one(docs(spark, some)).collect()]
+        assert {x for x in left if x[0] != 7} == want and [t.lower() for i, t in left if i == 7] == [d]
+        assert len(left) == len(want) + 3
+
+
 def test_thresholds():
     assert 0 < minhash.least_matches(0.85) < 55 and minhash.most_flips(0.85) < 1024 * 0.15
 
