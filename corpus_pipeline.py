@@ -26,8 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without passages of 20 words that occur earlier. Documents that lose all their words go."""
-    left = substrings.remove_repeats(docs)
-    return left.where(F.col("text").isNull() | (F.length("text") > 0))
+    return substrings.remove_repeats(docs, emptied=False)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -207,14 +207,17 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_words", "n_removed", "kept")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, length_col: str | None = "n_chars") -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, length_col: str | None = "n_chars", emptied: bool = True) -> DataFrame:
     """The columns of ``df`` with the text's repeated passages cut out, and ``length_col``, if there is one, counted anew.
 
-    Documents of which nothing is left stay as rows with an empty text; a null text stays null.
+    Documents that lose all their words stay as rows with an empty text if ``emptied``, else they go; a null text stays null, and one
+    without words stays as it is.
     """
     names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
     own = df.toDF(*names.values()).withColumn("__text", F.col(names[text_col]))
     done = repeated(own, names[id_col], names[text_col], window, carry=own.columns)
+    if not emptied:
+        done = done.where("n_removed = 0 or n_removed < n_words")
     cols = {c: F.col(n) for c, n in names.items()}
     cols[text_col] = F.when(F.col("__text").isNotNull(), F.col("kept"))
     if length_col in names:

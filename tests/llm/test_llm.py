@@ -421,6 +421,13 @@ def test_substrings(spark, window):
     assert done.columns == [*docs(spark, []).columns, "n_chars"] and done.where("n_chars <> length(text)").count() == 0
 
 
+def test_only_emptied_documents_go(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (2, long), (3, ""), (4, " \t"), (5, None), (6, " ".join(long.split()[5:30])), (7, "few words"), (8, "few words")]
+    left = corpus_pipeline.cut_repeats(spark, docs(spark, rows), SF)
+    assert {(x.doc_id, x.text) for x in left.collect()} == {rows[i] for i in (0, 2, 3, 4, 6, 7)} and left.columns == docs(spark, []).columns
+
+
 def test_rounds():
     assert substrings.rounds(20) == 2 and substrings.rounds(50) == 4 and substrings.rounds(1) == 0
 
