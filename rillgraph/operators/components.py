@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillgraph.operators.skew import split_join
 from rillgraph.runtime import Scratch
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every larger neighbour of u moves to the least vertex that u sees."""
+def _large_star(e: DataFrame, total: int) -> DataFrame:
+    """Every larger neighbour of u moves to the least vertex that u sees; ``total`` is the number of links."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
     return (
-        both.where("v > u").join(least, "u")
+        split_join(both.where("v > u"), least, "u", ["v"], 2 * total)
         .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     )
 
@@ -33,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
     """``(node, root)`` for every vertex of ``edges``; the root is the least vertex of its component.
 
     Large-star and small-star rounds (Kiveris et al.): each is a grouped minimum, combined before the shuffle, and an
-    equi-join, so a vertex with a third of all links is split like any other skewed join key. The links of each
+    equi-join that splits the links of a vertex with very many. The links of each
     round are written to the shared folder, which cuts the lineage; rounds grow with the logarithm of the vertices.
     Links with a null end are dropped; a self-link makes its vertex a component of its own.
     """
@@ -41,17 +42,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     known = scratch.keep(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     loops = known.where("u = v").select("u")
-    stars, mark = known.where("u <> v"), None
-    last = None
+    stars = known.where("u <> v")
+    mark = last = None
+    total = known.count()
     for _ in range(rounds):
-        new = scratch.keep(_small_star(_large_star(stars)))
+        new = scratch.keep(_small_star(_large_star(stars, total)))
         now = _mark(new)
         if last is not None:
             scratch.drop(last)
         stars = last = new
         if now == mark:
             break
-        mark = now
+        mark, total = now, now[0]
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     pairs = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
