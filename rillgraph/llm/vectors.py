@@ -1,7 +1,7 @@
 """Euclidean p-stable hashing of normalised vectors: near-duplicates, and nearest neighbours by multiprobe.
 
 A table hashes a unit vector by ``m`` quantised Gaussian projections. Equal vectors form a class and are hashed once. Buckets
-are dealt in blocks of ``BLOCK`` rows at most, each block with each other or with the queries, so no task holds a bucket
+are dealt in blocks of a bounded number of rows, each block with each other or with the queries, so no task holds a bucket
 and no row is written for a pair: a block's kernel returns counts, spanning links or the best few.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from rillgraph.operators.components import connected_components
 from rillgraph.runtime import Scratch
 
-BLOCK = 1024
+#: Rows of a block of a bucket that queries visit, and of one whose rows are compared with each other.
+BLOCK, LINK_BLOCK = 1024, 4096
 
 
 class Tables:
@@ -80,47 +81,33 @@ def _linked(least: float):
         t = t.combine_chunks()
         gid, members, mine = (t.column(c).to_numpy() for c in ("gid", "members", "block"))
         names = np.stack([x.values.to_numpy() for x in t.column("names").chunk(0)]) if len(t) else np.empty((0, 1))
-        _, unit = _unit(t.column("embedding").chunk(0))
+        whole, unit = _unit(t.column("embedding").chunk(0))
         bucket, a, b = (x.as_py() for x in key)
         left, right = (np.flatnonzero(mine == x) for x in (a, b))
-        links, root = np.zeros(len(gid), np.int64), np.arange(len(gid))
-        for lo in range(0, len(left), 256):
-            rows = left[lo : lo + 256]
-            near = unit[rows] @ unit[right].T >= least - 1e-9
+        links, comp = np.zeros(len(gid), np.int64), np.arange(len(gid))
+        # The pair counts in the first table that brings it together.
+        earlier = range(int((names[0] == bucket).argmax())) if len(t) else ()
+        for lo in range(0, len(left), 64):
+            rows = left[lo : lo + 64]
+            dot = unit[rows] @ unit[right].T
+            near = dot >= least - 1e-9
             near &= (rows[:, None] < right[None]) if a == b else True
-            i, j = (x[k] for x, k in zip((rows, right), np.nonzero(near)))
-            exact = _cosines(t, i, j) >= least
-            i, j = i[exact], j[exact]
-            # The pair counts in the first table that brings it together.
-            first = (names[i] == names[j]).argmax(axis=1) == by_table(names, i, bucket)
-            i, j = i[first], j[first]
-            np.add.at(links, i, members[j])
-            np.add.at(links, j, members[i])
-            for x, y in zip(i.tolist(), j.tolist()):
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                while root[y] != y:
-                    root[y] = y = root[root[y]]
-                root[max(x, y)] = min(x, y)
-        for x in range(len(root)):
-            root[x] = root[root[x]]
+            for i in earlier:
+                near &= names[rows, i][:, None] != names[right, i][None]
+            i, j = np.nonzero(near & (dot < least + 1e-9))
+            near[i, j] = cosines(whole, rows[i], whole, right[j]) >= least
+            links[rows] += near @ members[right]
+            links[right] += members[rows] @ near
+            for x, some in zip(rows, near):
+                met = np.unique(comp[np.append(right[some], x)])
+                if len(met) > 1:
+                    comp[np.isin(comp, met[1:])] = met[0]
         some = links > 0
-        return pa.table({"gid": gid[some], "links": links[some], "root": gid[root[some]]})
-
-    def by_table(names: np.ndarray, i: np.ndarray, bucket: int) -> np.ndarray:
-        return (names[i] == bucket).argmax(axis=1)
+        return pa.table({"gid": gid[some], "links": links[some], "root": gid[comp[some]]})
 
     return run
 
 
-def _cosines(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Cosines of the original vectors in double precision."""
-    if not len(i):
-        return np.empty(0)
-    whole = np.stack([x.values.to_numpy(zero_copy_only=False) for x in t.column("embedding").chunk(0)]).astype(np.float64)
-    return cosines(whole, i, whole, j)
-
-
 def cosines(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
     na, nb = (np.sqrt((x * x).sum(axis=1)) for x in (a, b))
     out = np.empty(len(i))
@@ -154,7 +141,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     # A bucket's name is taken together with the label and the number of components.
     places = names.join(classes.select("gid", "label", F.size("embedding").alias("width")), "gid").select("gid", "label", "width", F.explode("names").alias("bucket"))
     full = places.groupBy("bucket", "label", "width").agg(F.count("*").alias("size")).where("size > 1")
-    places = places.join(full, ["bucket", "label", "width"]).withColumn("blocks", F.ceil(F.col("size") / (BLOCK // 2)).cast("int"))
+    places = places.join(full, ["bucket", "label", "width"]).withColumn("blocks", F.ceil(F.col("size") / LINK_BLOCK).cast("int"))
     places = places.withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("a"), F.greatest(x, F.col("block")).alias("b")))
     dealt = places.select("bucket", "label", "width", "gid", "block", F.explode(pairs).alias("p")).select("*", "p.a", "p.b").drop("p")

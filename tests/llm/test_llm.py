@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillgraph.llm import chat, minhash, packing, pieces, registry, secrets, sharding, skew, substrings, toxicity, vectors
+from rillgraph.llm import chat, minhash, packing, pieces, registry, secrets, sharding, substrings, toxicity, vectors
+from rillgraph.operators import skew
 from rillgraph.runtime import Scratch
 
 SF = "/root/testdata/sf0.001"
