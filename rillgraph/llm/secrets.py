@@ -36,18 +36,46 @@ SPAN = "array<struct<start:int,kind_no:int,end:int>>"
 RANDOM = "array<struct<start:int,end:int,cls:int,p:double>>"
 
 
+#: Entries of an array that are summed at a time.
+PART = 256
+#: Code points in a part of a text that spans are cut from.
+CHUNK = 4096
+
+
+def _let(x: Column, made) -> Column:
+    """``made(x)`` with ``x`` evaluated once."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
+def running(numbers: Column, join) -> Column:
+    """The running ``join`` (a sum, a maximum) of an array of non-negative ints.
+
+    An array that grows by one entry at a time costs the square of its length, so parts of ``PART`` entries are summed by
+    themselves and then raised by what the parts before them come to.
+    """
+    none = F.expr("cast(array() as array<int>)")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+    grow = lambda a, v: F.concat(a, F.array(join(last(a), v)))
+
+    def whole(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int"))
+        parts = F.transform(starts, lambda k: F.aggregate(F.slice(x, k * PART + 1, F.lit(PART)), none, grow))
+        before = lambda p: F.slice(F.aggregate(F.transform(p, last), F.array(F.lit(0)), grow), F.lit(1), F.size(p))
+        return _let(parts, lambda p: F.flatten(F.zip_with(p, before(p), lambda own, base: F.transform(own, lambda v: join(v, base)))))
+
+    return _let(numbers, lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(none))
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<m string, start, end>> of the leftmost matches, in code points: matches and the pieces between them alternate."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<m:string,start:int,end:int>>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), a.alias("start"), b.alias("end")))).alias("out"))
+    def placed(m: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
+        ends = running(F.zip_with(gaps, m, lambda g, x: F.length(g) + F.length(x)), lambda a, b: a + b)
+        return F.zip_with(m, ends, lambda x, end: F.struct(x.alias("m"), (end - F.length(x)).alias("start"), end.alias("end")))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    return _let(found, placed)
 
 
 def _kind(text: Column, pattern: str, kind: int, keep) -> Column:
@@ -64,11 +92,7 @@ def _tail(z: Column) -> Column:
 def _p(token: Column, alphabet: str) -> Column:
     """The p-value of a token's randomness in one encoding."""
     n, k = F.length(token).cast("double"), len(alphabet)
-    chars = F.split(token, "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
     df, edge = k - 1.0, 2 / (9 * (k - 1.0))
-    chi = _tail((F.cbrt((k * squares / n - n) / df) - (1 - edge)) / edge**0.5)
-
     kinds = [sum(c.isdigit() for c in alphabet), sum(c.islower() for c in alphabet), sum(c.isupper() for c in alphabet)]
     shares = [x / k for x in (*kinds, k - sum(kinds)) if x]
     two, three = (sum(x**e for x in shares) for e in (2, 3))
@@ -76,14 +100,19 @@ def _p(token: Column, alphabet: str) -> Column:
     spread = F.sqrt((n - 1) * (two * (1 - two)) + (n - 2) * (2 * (three - two * two)))
     alternate = 2 * _tail(F.abs(runs - (1 + (n - 1) * (1 - two))) / spread)
 
-    codes = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    off = F.transform(codes, lambda x: x - mean)
-    lag = F.zip_with(F.slice(off, F.lit(1), F.size(off) - 1), F.slice(off, F.lit(2), F.size(off) - 1), lambda a, b: a * b)
-    own = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)
-    r = F.when(own > 0, F.aggregate(lag, F.lit(0.0), lambda a, x: a + x) / own).otherwise(1.0)
-    serial = 2 * _tail(F.abs(r) * F.sqrt(n))
-    return F.least(F.lit(1.0), 3 * F.least(chi, alternate, serial))
+    def serial(off: Column) -> Column:
+        lag = F.zip_with(F.slice(off, F.lit(1), F.size(off) - 1), F.slice(off, F.lit(2), F.size(off) - 1), lambda a, b: a * b)
+        own, near = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x), F.aggregate(lag, F.lit(0.0), lambda a, x: a + x)
+        return _let(F.struct(own.alias("own"), near.alias("near")), lambda s: 2 * _tail(F.abs(F.when(s["own"] > 0, s["near"] / s["own"]).otherwise(1.0)) * F.sqrt(n)))
+
+    def judged(chars: Column) -> Column:
+        squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
+        chi = _tail((F.cbrt((k * squares / n - n) / df) - (1 - edge)) / edge**0.5)
+        codes = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c).cast("double"))
+        off = _let(codes, lambda x: _let(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n, lambda mean: F.transform(x, lambda v: v - mean)))
+        return F.least(F.lit(1.0), 3 * F.least(chi, alternate, _let(off, serial)))
+
+    return _let(F.split(token, ""), judged)
 
 
 def _class(token: Column, encoding: int) -> Column:
@@ -93,13 +122,29 @@ def _class(token: Column, encoding: int) -> Column:
 
 def _random(text: Column, base: Column) -> Column:
     """Tokens outside the fixed patterns' spans, with class and p-value."""
-    spans = F.filter(_spans(text, TOKEN), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    # In the order of their starts a token meets a span if one before it ends later than it starts, or the next starts before it ends.
+    at = lambda spans, no, m: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("no"), x["end"].alias("end"), m(x).alias("m")))
+    both = F.array_sort(F.concat(at(base, 0, lambda x: F.lit("")), at(_spans(text, TOKEN), 1, lambda x: x["m"])))
+
+    def free(every: Column) -> Column:
+        reach = running(F.transform(every, lambda x: F.when(x["no"] == 0, x["end"]).otherwise(0)), F.greatest)
+
+        def alone(e: Column) -> Column:
+            met = lambda x, i: (F.get(e["reach"], i) > x["start"]) | F.coalesce((F.get(e["every"], i + 1)["no"] == 0) & (F.get(e["every"], i + 1)["start"] < x["end"]), F.lit(False))
+            return F.filter(e["every"], lambda x, i: (x["no"] == 1) & ~met(x, i))
+
+        return _let(F.struct(every.alias("every"), reach.alias("reach")), alone)
+
+    spans = _let(both, free)
 
     def judged(x: Column) -> Column:
-        token = F.translate(x["m"], "-_", "+/")
-        fits = [token.rlike(f"^[{alphabet}]+$") for _, alphabet in ENCODINGS[:-1]]
-        pick = lambda made: reduce(lambda rest, i: F.when(fits[i], made(i)).otherwise(rest), reversed(range(len(fits))), made(len(fits)))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), pick(lambda i: _class(token, i)).alias("cls"), pick(lambda i: _p(token, ENCODINGS[i][1])).alias("p"))
+        def scored(token: Column) -> Column:
+            fits = [token.rlike(f"^[{alphabet}]+$") for _, alphabet in ENCODINGS[:-1]]
+            first = reduce(lambda rest, i: F.when(fits[i], F.lit(i)).otherwise(rest), reversed(range(len(fits))), F.lit(len(fits)))
+            by = lambda no, made: reduce(lambda rest, i: F.when(no == i, made(i)).otherwise(rest), range(len(fits)), made(len(fits)))
+            return _let(first, lambda no: F.struct(x["start"].alias("start"), x["end"].alias("end"), by(no, lambda i: _class(token, i)).alias("cls"), by(no, lambda i: _p(token, ENCODINGS[i][1])).alias("p")))
+
+        return _let(F.translate(x["m"], "-_", "+/"), scored)
 
     return F.when(text.rlike(TOKEN), F.transform(spans, judged)).otherwise(F.expr(f"cast(array() as {RANDOM})"))
 
@@ -128,21 +173,22 @@ def scan(df: DataFrame, text_col: str = "text", rate: float = 0.05, scratch: Scr
 
     Offsets are in code points, ends are exclusive, kind_no indexes ``KINDS``. ``base_spans`` has the fixed
     patterns' matches, ``spans`` also the random tokens, which never overlap those. Null text counts as empty.
-    Columns of ``df`` named like the two results are replaced. An empty table gives an empty result. The tokens'
+    Columns of ``df`` named like the two results are replaced, also among ``carry``. Repeated rows are scanned each. An empty table gives an empty result. The tokens'
     p-values are gathered over all rows before any is judged.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("base_spans", "spans")]
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = df.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text, cols = F.col("text"), [f"c{i}" for i in range(len(carry))]
     assign = _kind(text, ASSIGN, 0, lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
     access = _kind(text, ACCESS, 1, lambda x: F.length(x["m"]) >= 20)
-    whole = df.drop("base_spans", "spans") if carry is None else df
-    cols = [F.col(c) for c in (whole.columns if carry is None else carry)]
-    found = df.select(*cols, F.array_sort(F.concat(assign, access, _kind(text, HEX, 2, lambda x: F.lit(True)))).alias("base_spans"), text.alias("__text"))
-    found = scratch.keep(found.select(*cols, "base_spans", _random(F.col("__text"), F.col("base_spans")).alias("__tokens")))
-    bars = _bars(found.select(F.explode("__tokens").alias("t")).select("t.cls", "t.p"), rate)
+    found = rows.select(*cols, F.array_sort(F.concat(assign, access, _kind(text, HEX, 2, lambda x: F.lit(True)))).alias("base"), "text")
+    found = scratch.keep(found.select(*cols, "base", _random(text, F.col("base")).alias("tokens")))
+    bars = _bars(found.select(F.explode("tokens").alias("t")).select("t.cls", "t.p"), rate)
     bar = reduce(lambda rest, x: lambda c: F.when(c == x[0], F.lit(x[1])).otherwise(rest(c)), bars.items(), lambda c: F.lit(0.0))
-    kept = F.transform(F.filter("__tokens", lambda t: t["p"] > bar(t["cls"])), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind_no"), t["end"].alias("end")))
-    return found.select(*[c for c in found.columns if c != "__tokens"], F.array_sort(F.concat("base_spans", kept)).alias("spans"))
+    kept = F.transform(F.filter("tokens", lambda t: t["p"] > bar(t["cls"])), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind_no"), t["end"].alias("end")))
+    return found.select(*cols, "base", F.array_sort(F.concat("base", kept)).alias("spans")).toDF(*carry, "base_spans", "spans")
 
 
 def named(spans: Column) -> Column:
@@ -153,11 +199,16 @@ def named(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by ``mark``; spans that overlap become one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    number = lambda x: F.floor(x / CHUNK).cast("int")
+
+    def cut(p: Column, a: Column, b: Column) -> Column:
+        return F.substring(F.array_join(F.slice(p, number(a) + 1, number(b) - number(a) + 1), ""), a % CHUNK + 1, b - a)
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        more = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
+    def marked(x: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(x["reach"], i - 1), F.lit(0))
+        pieces = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(x["parts"], before(i), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), cut(x["parts"], before(F.size(x["spans"])), F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return _let(F.struct(spans.alias("spans"), reach.alias("reach"), parts.alias("parts")), marked)
