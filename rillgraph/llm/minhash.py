@@ -378,6 +378,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     Rows that share an id but not their text go or stay each by its own text. Rows with a null id and rows without words, which are
     linked with nothing, all stay.
     """
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    left = _kept(df.toDF(*names.values()), names[id_col], names[text_col], percent)
+    return left.toDF(*df.columns)
+
+
+def _kept(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     scratch = Scratch(df.sparkSession)
     marked = _grouped(df, id_col, text_col, percent, scratch)
     again = scratch.keep(df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))

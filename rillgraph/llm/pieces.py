@@ -401,7 +401,7 @@ def encode(df: DataFrame, model: Model, text_col: str = "text", carry: list[str]
     carried column may not be named ids. The driver holds the common words' ids, COMMON of them at most, and broadcasts them with
     the model's pairs of pieces.
     """
-    carry = carry or []
+    carry = [c for c in carry or [] if c.lower() not in ("ids", "decoded")]
     counts = df.select(F.col(text_col).cast("string")).mapInArrow(_count(model), "word string, n long").where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
     frequent = counts.orderBy(F.desc("n"), "word").limit(COMMON).select("word")
     common = lexicon(Scratch(df.sparkSession).keep(frequent), model).collect()

@@ -53,12 +53,12 @@ def recompress(words: np.ndarray, doc: np.ndarray, times: int) -> tuple[np.ndarr
     return name, start
 
 
-def _rolling(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` words from each position in ``at``."""
+def _rolling(words: np.ndarray, at: np.ndarray, size: int, place: int = 2) -> np.ndarray:
+    """Hash of the ``size`` words from each position in ``at``; another ``place`` of the multipliers gives an independent one."""
     out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            out += words[at + i] * _MUL[2 + i]
+            out += words[at + i] * _MUL[(place + i) % len(_MUL)]
         return mix(out)
 
 
@@ -108,7 +108,7 @@ def _post(window: int):
 
 
 def _windows(window: int):
-    """(w, doc, pos) for each window whose anchor's key is among the text's repeated ones."""
+    """(w, w2, doc, pos) for each window whose anchor's key is among the text's repeated ones; w and w2 are 128 bits of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -118,8 +118,8 @@ def _windows(window: int):
                 words, begin = hash_words(as_bytes(batch.column(2)))
                 first, _, key = anchors(words, begin, window)
                 first = first[np.isin(key.view(np.int64), keys)]
-                w = _rolling(words, first, window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), doc, np.int64)), pa.array(first + (rank << 32))], names=["w", "doc", "pos"])
+                w, w2 = (_rolling(words, first, window, place).view(np.int64) for place in (2, 2050))
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(w2), pa.array(np.full(len(w), doc, np.int64)), pa.array(first + (rank << 32))], names=["w", "w2", "doc", "pos"])
 
     return run
 
@@ -169,7 +169,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     Ids are integers. Null id: after all others. Rows that share an id but not their text are one document, in the order
     of their texts' hashes; equal rows get equal results and do not count as repeats of each other. Null
     text: no words, kept empty. Texts of fewer words than a window stay as they are. An empty table gives an empty
-    result. Carried columns may not be named n_words, n_removed or kept.
+    result. Carried columns named n_words, n_removed or kept are replaced.
     """
     scratch = scratch or Scratch(df.sparkSession)
     text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
@@ -188,16 +188,16 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     scratch.drop(posts, again)
 
     first = df.select(key.alias("doc"), *hashes, text.alias("text")).join(classes.join(keys, "h1"), ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2"])
-    found = scratch.keep(first.select("doc", "rank", "text", "keys").mapInArrow(_windows(window), "w long, doc long, pos long"))
-    early = found.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("early"), F.count("*").alias("n")).where("n > 1")
+    found = scratch.keep(first.select("doc", "rank", "text", "keys").mapInArrow(_windows(window), "w long, w2 long, doc long, pos long"))
+    early = found.groupBy("w", "w2").agg(F.min(F.struct("doc", "pos")).alias("early"), F.count("*").alias("n")).where("n > 1")
     early = scratch.keep(early)
-    late = split_join(found, early, "w", ["doc", "pos"], found.count()).where(F.struct("doc", "pos") > F.col("early"))
+    late = split_join(found, early, ["w", "w2"], ["doc", "pos"], found.count()).where(F.struct("doc", "pos") > F.col("early"))
     late = late.groupBy("doc", F.shiftright("pos", 32).alias("rank")).agg(F.collect_list(F.col("pos").bitwiseAND(F.lit(2**32 - 1))).alias("starts"))
     marks = classes.join(late, ["doc", "rank"], "left").select("h1", "h2", F.col("doc").alias("own"), F.lit(True).alias("first"), "starts")
     marks = scratch.keep(marks)
     scratch.drop(found, early, keys)
 
-    carry = carry if carry is not None else [id_col]
+    carry = [c for c in ([id_col] if carry is None else carry) if c.lower() not in ("n_words", "n_removed", "kept")]
     named = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     # A row that is not the first of its text finds no marks; the id in the key spreads the copies of one text.
     rows = df.select(*named, key.alias("own"), *hashes, text.alias("text")).join(marks, ["h1", "h2", "own"], "left")

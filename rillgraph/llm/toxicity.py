@@ -222,7 +222,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", carry: list[str]
     The whole text counts. Null counts as empty, whose score is that of a text without evidence. Repeated rows are scored
     each; an empty table gives an empty result; a carried column named score is replaced.
     """
-    carry = [c for c in (df.columns if carry is None else carry) if c != "score" or c == text_col]
+    carry = [c for c in (df.columns if carry is None else carry) if c.lower() != "score"]
     names = [f"c{i}" for i in range(len(carry))]
     kinds = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for n, c in zip(names, carry))
     rows = df.select(*[F.col(c).alias(n) for n, c in zip(names, carry)], F.col(text_col).cast("string").alias("text"))
