@@ -125,3 +125,8 @@ def seeds(df: DataFrame, coords: list[str], value: str) -> DataFrame:
         out = out.join(there, coords, "left")
         tests = tests & F.coalesce(F.col(f"__v{i}") < F.col(value), F.lit(True))
     return out.where(tests).select(*df.columns)
+
+
+def mean_without_nan(value: Column) -> Column:
+    """The mean of what is neither null nor NaN; null if there is nothing."""
+    return F.avg(F.when(~F.isnan(value), value))

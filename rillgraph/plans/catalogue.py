@@ -105,7 +105,7 @@ query("axis_flip", f"WITH {PX} SELECT y AS x, x AS y, v FROM px")(lambda s, d: g
 query("block_assign", f"WITH {PX} SELECT x, y, x//40*40 AS bx, y//16*16 AS \"by\" FROM px")(
     lambda s, d: px(s, d).select("x", "y", *[b.alias(n) for b, n in zip(grid.block_of([F.col("x"), F.col("y")], [40, 16]), ("bx", "by"))]))
 query("linear_index", f"WITH {PX} SELECT x, y, y + 64*x AS i FROM px")(lambda s, d: px(s, d).select("x", "y", grid.linear([F.col("y"), F.col("x")], [64, 2000]).alias("i")))
-query("chunk_dims", f"WITH {PX} SELECT DISTINCT x//30*30 AS ox, y//30*30 AS oy, least(500 - x//30*30, 30) AS dx, least(64 - y//30*30, 30) AS dy FROM px WHERE x < 500")(
+query("chunk_dims", f"WITH {PX} SELECT DISTINCT x//30*30 AS ox, y//30*30 AS oy, least(x_end - x//30*30, 30) AS dx, least(y_end - y//30*30, 30) AS dy FROM px, (SELECT max(vec_id) + 1 AS x_end, max(len(embedding)) AS y_end FROM embeddings)")(
     lambda s, d: _chunk_dims(s, d))
 query("halo_rows", f"WITH {PX}, b AS (SELECT x, y, unnest(list_distinct([(x-1)//40, x//40, (x+1)//40])) * 40 bx, y FROM px WHERE x > 0 UNION ALL SELECT x, y, 0 AS bx, y FROM px WHERE x = 0), "
       "h AS (SELECT b.x, b.y, bx, unnest(CASE WHEN y = 0 THEN [0] ELSE list_distinct([(y-1)//16, y//16, (y+1)//16]) END) * 16 b_y FROM b) SELECT bx AS b_x, b_y, count(*) AS n FROM h GROUP BY 1, 2")(
@@ -264,8 +264,8 @@ _CHEAP = _W + ", gh AS (SELECT bs block, bd owner, w FROM eb WHERE bs<>bd UNION
 query("cheapest_neighbor_block", f"WITH {_CHEAP} SELECT block, target FROM cn")(lambda s, d: merging.small_blocks(edges(s, d), nodes(s, d), "aff_only_max", 1 << 30))
 query("small_blocks", f"WITH {_CHEAP} SELECT block, target FROM cn WHERE block IN (SELECT block FROM nodes GROUP BY 1 HAVING count(*) < 40)")(lambda s, d: merging.small_blocks(edges(s, d), nodes(s, d), "aff_only_max", 40))
 query("small_block_merge", "WITH RECURSIVE " + _CHEAP.replace("nodes AS", "nn AS").replace("n1 ON", "n1 ON").replace("JOIN nodes", "JOIN nn")
-      + ", nodes AS (SELECT DISTINCT block AS node FROM nn), good AS (SELECT block src, target dst FROM cn WHERE block % 2 = 0), " + _CC + " SELECT node AS block, root FROM cc")(
-    lambda s, d: _roots(s, d, merging.small_blocks(edges(s, d), nodes(s, d), "aff_only_max", 1 << 30).where("block % 2 = 0").select(F.col("block").alias("src"), F.col("target").alias("dst")), nodes(s, d).select(F.col("block").alias("node")).distinct()).withColumnRenamed("node", "block"))
+      + ", nodes AS (SELECT DISTINCT block AS node FROM nn), good AS (SELECT block src, target dst FROM cn WHERE block IN (SELECT block FROM nn GROUP BY 1 HAVING count(*) < 40)), " + _CC + " SELECT node AS block, root FROM cc")(
+    lambda s, d: _roots(s, d, merging.small_blocks(edges(s, d), nodes(s, d), "aff_only_max", 40).select(F.col("block").alias("src"), F.col("target").alias("dst")), nodes(s, d).select(F.col("block").alias("node")).distinct()).withColumnRenamed("node", "block"))
 
 query("coalesce_blocks", "WITH RECURSIVE " + _CHEAP.replace("nodes AS", "nn AS").replace("JOIN nodes", "JOIN nn")
       + ", nodes AS (SELECT DISTINCT block AS node FROM nn), good AS (SELECT block src, target dst FROM cn WHERE block IN (SELECT block FROM nn GROUP BY 1 HAVING count(*) < 40)), " + _CC
@@ -321,3 +321,20 @@ query("local_maxima_seeds", f"WITH {PX}, w AS (SELECT x, y, v, lag(v) OVER (PART
 query("watershed_labels")(lambda s, d: watershed.initial_watershed(lab(s, d), ["x", "y"], ["ax", "ay"]))
 query("seeded_watershed")(lambda s, d: watershed.seeded_watershed(lab(s, d).withColumn("a", (F.coalesce("ax", F.lit(0.0)) + F.coalesce("ay", F.lit(0.0))) / 2), ["x", "y"], "a"))
 query("size_linkage")(lambda s, d: watershed.size_linkage(at_blocks(s, d).where("bs = bd").withColumn("block", F.col("bs")), 40.0))
+query("size_linkage_thresholds")(lambda s, d: watershed.size_linkage(at_blocks(s, d).where("bs = bd").withColumn("block", F.col("bs")), [10.0, 20.0, 40.0]))
+query("initial_watershed_counts")(lambda s, d: watershed.initial_watershed(lab(s, d), ["x", "y"], ["ax", "ay"], 20.0).groupBy("block", "label").agg(F.count("*").alias("cnt")))
+query("seeded_watershed_slices")(lambda s, d: watershed.seeded_watershed(lab(s, d).withColumn("a", F.coalesce("ax", F.lit(0.0))), ["x", "y"], "a", "y"))
+query("relabel_compact", f"WITH {_GOOD_BLOCK}, f AS (SELECT block, root, min(node) AS first FROM cc JOIN nodes USING (node) GROUP BY 1, 2) "
+      "SELECT block, node, label FROM cc JOIN nodes USING (node) JOIN (SELECT block, root, row_number() OVER (PARTITION BY block ORDER BY first) AS label FROM f) USING (block, root)")(
+    lambda s, d: watershed.compacted(_roots(s, d, at_blocks(s, d).where("bs = bd and affinity >= 0.98D"), nodes(s, d)).join(nodes(s, d).select("block", "node"), "node")))
+query("threshold_slices", f"""WITH {LAB}, e AS (SELECT x, y, block, CASE WHEN lag(block) OVER w = block AND lag(ax) OVER w > 0.9 THEN 0 ELSE 1 END AS new FROM lab WINDOW w AS (PARTITION BY y ORDER BY x))
+SELECT x, y, block, (sum(new) OVER (ORDER BY block, y, x))::BIGINT AS label FROM e""")(
+    lambda s, d: watershed.threshold_components(lab(s, d).withColumn("none", F.lit(None).cast("double")), ["x", "y"], ["ax", "none"], 0.9, "y"))
+
+# Point look-ups, means without NaN, sets of ids
+
+query("point_lookup", f"WITH {PX} SELECT x, y, v FROM px WHERE x = 7 AND y = 5")(lambda s, d: grid.pixels(table(s, d, "embeddings").where("vec_id = 7")).where("y = 5").select("x", "y", "v"))
+query("channel_mean_without_nan", "SELECT vec_id, round(list_avg([x::DOUBLE for x in embedding if x >= 0]), 9) AS a FROM embeddings")(
+    lambda s, d: px(s, d).select(F.col("x").alias("vec_id"), F.when(F.col("v") >= 0, F.col("v")).otherwise(float("nan")).alias("v")).groupBy("vec_id").agg(r9(grid.mean_without_nan(F.col("v"))).alias("a")))
+query("neighbour_block_sets", f"WITH {_ENDS}, o AS (SELECT bs AS block, bd AS owner FROM eb WHERE bs<>bd UNION SELECT bd, bs FROM eb WHERE bs<>bd) SELECT block, (row_number() OVER (PARTITION BY block ORDER BY owner) - 1)::INT AS place, owner FROM o")(
+    lambda s, d: blocks.outside(at_blocks(s, d)).groupBy("block").agg(F.sort_array(F.collect_set("owner")).alias("o")).select("block", F.posexplode("o").alias("place", "owner")))

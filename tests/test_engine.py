@@ -184,6 +184,73 @@ def test_watershed_kernels():
     assert watershed.linkage([(1, 2, 0.9), (2, 3, 0.1)], {1: 5, 2: 5, 3: 50}, 10) == {1: 1, 2: 1, 3: 3}
 
 
+def plain_basins(bits):
+    """The rule by which plateaus are removed, restated over sets, and the basins of what is left."""
+    steps, mirror = {1: (0, -1), 2: (-1, 0), 4: (1, 0), 8: (0, 1)}, {1: 8, 2: 4, 4: 2, 8: 1}
+    w, h = bits.shape
+    at = lambda p, b: (p[0] + steps[b][0], p[1] + steps[b][1])
+    way = {(x, y): {b for b in steps if bits[x, y] & b and 0 <= x + steps[b][0] < w and 0 <= y + steps[b][1] < h} for x in range(w) for y in range(h)}
+    line = [p for p in way if any(mirror[b] not in way[at(p, b)] for b in way[p])]
+    for p in line:
+        free = [b for b in sorted(way[p]) if mirror[b] not in way[at(p, b)]]
+        line += [at(p, b) for b in sorted(way[p]) if b not in free and at(p, b) not in line]
+        way[p] = set(free[:1])
+    group = {p: {p} for p in way}
+    for p in way:
+        for b in way[p]:
+            both = group[p] | group[at(p, b)]
+            for q in both:
+                group[q] = both
+    return {frozenset(g) for g in group.values() if len(g) > 1}
+
+
+def test_plateaus_against_the_plain_rule():
+    r = np.random.default_rng(5)
+    for i in range(200):
+        shape = (int(r.integers(2, 8)), int(r.integers(2, 8)))
+        ax, ay = (r.integers(0, 3, shape) / 3 for _ in "xy")
+        ax[-1], ay[:, -1] = np.nan, np.nan
+        bits = watershed.parent_bits([ax, ay])
+        labels = watershed.basins(watershed.remove_plateaus(bits))
+        groups = {}
+        for p in np.ndindex(*shape):
+            groups.setdefault(labels[p], set()).add(p)
+        assert {frozenset(g) for n, g in groups.items() if n} == plain_basins(bits), i
+    # Corners that each descend along +y stay with their own line.
+    corner = np.array([[4 | 8, 8, 0], [2 | 8, 8, 0]])
+    assert watershed.basins(watershed.remove_plateaus(corner)).max() == 2
+
+
+def test_linkage_by_several_thresholds():
+    edges, counts = [(1, 2, 0.9), (2, 3, 0.5), (3, 4, 0.8), (0, 1, 1.0), (4, 5, 0.00001)], {0: 9, 1: 5, 2: 5, 3: 50, 4: 3, 5: 1}
+    got = watershed.linkages(edges, counts, [3.0, 10.0, 100.0])
+    assert got[0] == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+    assert got[1] == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 5} and got[2] == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    assert watershed.linkages(edges, counts, [1.0], joins=lambda size, most: False)[0] == got[0]
+    assert watershed.compact(np.array([0, 5, 3, 4, 1]), got[1]).tolist() == [0, 3, 2, 2, 1]
+
+
+def test_joined_watershed_conserves_voxels():
+    r = np.random.default_rng(3)
+    affs = [r.random((12, 9)) for _ in "xy"]
+    affs[0][-1], affs[1][:, -1] = np.nan, np.nan
+    one, two = watershed.joined_watershed(affs, 0), watershed.joined_watershed(affs, 30.0)
+    assert ((one > 0) == (two > 0)).all() and two.max() < one.max() and set(np.unique(two)) <= set(range(two.max() + 1))
+    assert all(len(np.unique(two[one == n])) == 1 for n in range(1, one.max() + 1))
+    first = [int(one[two == n].min()) for n in range(1, two.max() + 1)]
+    assert first == sorted(first)
+
+
+def test_thresholds_and_counts_queries(spark):
+    q = catalogue.queries()
+    steps = {(r.step, r.node): r.root for r in q["size_linkage_thresholds"](spark, SF).collect()}
+    assert {s for s, _ in steps} == {0, 1, 2} and all(steps[s, r] == r for (s, _), r in steps.items())
+    assert len({r for (s, _), r in steps.items() if s == 2}) <= len({r for (s, _), r in steps.items() if s == 0})
+    counts = q["initial_watershed_counts"](spark, SF)
+    assert counts.agg(F.sum("cnt")).first()[0] == 32000
+    assert q["seeded_watershed_slices"](spark, SF).where("label > 0").groupBy("label").agg(F.count_distinct("y").alias("n")).where("n > 1").count() == 0
+
+
 def test_watershed_covers_the_grid(spark):
     out = catalogue.queries()["watershed_labels"](spark, SF)
     seen = out.where("label > 0").groupBy("label").agg(F.count_distinct("block").alias("b")).agg(F.max("b"), F.count("*"), F.max("label")).first()
