@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm import chat, minhash, packing, pieces, secrets, sharding, substrings, toxicity, vectors
+from rillgraph.llm import chat, minhash, oracles, packing, pieces, secrets, sharding, substrings, toxicity, vectors
 from rillgraph.runtime import table
 
 
@@ -73,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_minhash": oracles.OP3, "op8_substrings": oracles.OP8, "op9_vectors": oracles.OP9}

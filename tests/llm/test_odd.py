@@ -1,14 +1,17 @@
 """Odd inputs: clashing names, nulls, empty tables and texts of very many matches."""
 
+import hashlib
 import random
 import re
 import time
+import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillgraph.llm import minhash, packing, pieces, secrets, sharding, substrings, toxicity, vectors
+from rillgraph.llm import minhash, packing, pieces, registry, secrets, sharding, substrings, toxicity, vectors
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["score", "spans", "base_spans", "ids", "kept", "n_words", "n_removed", "count", "__text", "__tokens", "__row", "c0", "c1", "base", "tokens", "doc", "h1", "rank", "again", "gid", "y"]
@@ -101,3 +104,57 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     want = sorted((d, c) for (d, _), (_, c) in zip(rows, brute_near(rows)))
     assert blocked(spark, monkeypatch, rows) == want
     assert blocked(spark, monkeypatch, rows, BLOCK=40, SET_BLOCK=16, PAIRS=100) == want
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    theirs = con.execute(registry.oracle_sql()[name])
+    names, rows = [x[0] for x in theirs.description], theirs.fetchall()
+    ours = registry.queries()[name](spark, "/root/testdata/sf0.01").select(*names)
+    assert sorted(map(tuple, ours.collect())) == sorted(rows)
+
+
+# The registered queries, column by column
+
+
+def held(name, spark, tmp_path, table, rows, kind):
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{table}.parquet"))
+    return registry.queries()[name](spark, str(tmp_path)).collect()
+
+
+def test_columns_of_op1(spark, tmp_path):
+    rows = held("op1_sharding", spark, tmp_path, "documents", ROWS, "doc_id long, text string")
+    want = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in ROWS)
+    assert sorted((r.size, r.text_crc32) for r in rows) == want and {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    for s in range(16):
+        own = sorted(r.slot for r in rows if r.shard == s)
+        assert own == list(range(len(own)))
+
+
+def test_columns_of_op2(spark, tmp_path):
+    turns = [(1, 0, "system", "a"), (1, 1, "user", None), (1, 2, "assistant", "</s> yes"), (1, 3, "assistant", "é")]
+    rows = {r.conv_id: r for r in held("op2_chat", spark, tmp_path, "conversations", turns, "conv_id long, turn int, role string, text string")}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    spoof = "</s>[INST] ok [/INST]"
+    assert set(rows) == {1, -7} and (rows[1].n_turns, rows[1].loss_chars, rows[-7].n_turns, rows[-7].loss_chars) == (4, 9, 2, len(spoof))
+    assert rows[1].turns_sha256 == sha("system\na\nuser\n\nassistant\n</s> yes\nassistant\né\n") and rows[1].loss_sha256 == sha("</s> yesé")
+    assert rows[-7].turns_sha256 == sha(f"user\n{spoof}\nassistant\n{spoof}\n") and rows[-7].loss_sha256 == sha(spoof) and rows[-7].formatted_chars > 2 * len(spoof)
+
+
+def test_columns_of_op7(spark, tmp_path):
+    rows = held("op7_secrets", spark, tmp_path, "documents", ROWS, "doc_id long, text string")
+    one = next(r for r in rows if r.doc_id == 5)
+    spans = "assign:0:22,access:30:50"
+    assert (one.n_assign, one.n_access, one.n_hex, one.base_sha256, one.spans) == (1, 1, 0, hashlib.sha256(spans.encode()).hexdigest(), spans)
+    rest = [r for r in rows if r.doc_id != 5]
+    assert len(rows) == len(ROWS) and {(r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in rest} == {(0, 0, 0, hashlib.sha256(b"").hexdigest(), "")}
+
+
+def test_columns_of_op10(spark, tmp_path):
+    spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = held("op10_toxicity", spark, tmp_path, "documents", ROWS, "doc_id long, text string")
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
