@@ -92,14 +92,17 @@ def _linked(least: float):
             dot = unit[rows] @ unit[right].T
             near = dot >= least - 1e-9
             near &= (rows[:, None] < right[None]) if a == b else True
+            if not near.any():
+                continue
             for i in earlier:
                 near &= names[rows, i][:, None] != names[right, i][None]
             i, j = np.nonzero(near & (dot < least + 1e-9))
-            near[i, j] = cosines(whole, rows[i], whole, right[j]) >= least
+            if len(i):
+                near[i, j] = cosines(whole, rows[i], whole, right[j]) >= least
             links[rows] += near @ members[right]
             links[right] += members[rows] @ near
-            for x, some in zip(rows, near):
-                met = np.unique(comp[np.append(right[some], x)])
+            for x in np.flatnonzero(near.any(axis=1)):
+                met = np.unique(comp[np.append(right[near[x]], rows[x])])
                 if len(met) > 1:
                     comp[np.isin(comp, met[1:])] = met[0]
         some = links > 0
