@@ -398,7 +398,7 @@ def encode(df: DataFrame, model: Model, text_col: str = "text", carry: list[str]
     the text that those give, by the kernel of ``decode`` in the same worker, if that is asked for.
 
     Null text counts as empty and has no ids. Repeated rows are encoded each; an empty table gives an empty result; a
-    carried column may not be named ids. The driver holds the common words' ids, COMMON of them at most, and broadcasts them with
+    carried column named ids or decoded is replaced. The driver holds the common words' ids, COMMON of them at most, and broadcasts them with
     the model's pairs of pieces.
     """
     carry = [c for c in carry or [] if c.lower() not in ("ids", "decoded")]
