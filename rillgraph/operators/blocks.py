@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from rillgraph.operators.components import connected_components
 from rillgraph.runtime import Scratch
 
+#: Blocks of neighbouring numbers whose sizes one task adds up.
+SPAN = 4096
+
 
 def split_edges(contacts: DataFrame, block: Column, block_next: Column) -> DataFrame:
     """One row per pair with its contacts inside a block and across faces: a pair met inside stays internal and takes up its face contacts."""
@@ -42,9 +45,17 @@ def numbered(rows: DataFrame, groups: list[str], order: list[str], name: str, sc
 
 
 def prefix_offsets(rows: DataFrame, order: list[str], size: str, name: str) -> DataFrame:
-    """``rows``, one for each block, with the sum of ``size`` over those before: where a block's ids begin."""
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    """``rows``, one for each block, with the sum of ``size`` over those before: where a block's ids begin.
+
+    The first column of ``order`` is a number, not null. Sums run inside spans of ``SPAN`` such numbers, and over one row a span before them.
+    """
+    spans = F.floor(F.col(order[0]) / SPAN)
+    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy(spans.alias("__span")).agg(F.sum(size).alias("__sum"))
+    whole = whole.select("__span", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy("__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("__span", spans).withColumn("__here", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return out.join(whole, "__span").withColumn(name, (F.col("__ahead") + F.col("__here")).cast("long")).drop("__span", "__ahead", "__here")
 
 
 def offset_labels(labels: DataFrame, offsets: DataFrame, by: str = "block") -> DataFrame:

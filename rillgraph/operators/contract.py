@@ -111,6 +111,13 @@ class Block:
             self.contract(i, node)
         return target
 
+    def roots(self) -> dict[int, int]:
+        """Where the nodes that went have ended up. The smaller node of a merge stays, so a root is its component's least node."""
+        found = {}
+        for a, b, node, _ in reversed(self.merges):
+            found[max(a, b)] = found.get(node, node)
+        return found
+
 
 RESULT = "block long, kind string, seq int, n1 long, n2 long, n long, weight double, target long"
 
@@ -133,6 +140,7 @@ def kernel(policy: str, threshold: float, region_ratio: float = 0.0):
             g.add(r["src"], r["dst"], r["affinity"], r["multiplicity"], r["hist"])
         target = g.run(threshold, region_ratio)
         out = [(own, "merge", i, *m, None) for i, m in enumerate(g.merges)]
+        out += [(own, "root", 0, gone, root, None, None, None) for gone, root in g.roots().items()]
         out += [(own, "point", 0, None, None, None, None, target)] if target is not None else []
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
         names = [x.split()[0] for x in RESULT.split(", ")]

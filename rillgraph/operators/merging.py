@@ -86,8 +86,8 @@ def merge(edges: DataFrame, nodes: DataFrame, policy: str, threshold: float, tol
           on_iteration: Callable[[int, DataFrame, DataFrame], None] | None = None, rounds: int = 1000, scratch: Scratch | None = None) -> Result:
     """Contract in blocks, join the blocks that point at each other, and repeat until no block merges or points anywhere.
 
-    Each round: one grouped kernel over the blocks' edges, components of the merges and of the pointers, and one re-rooting
-    of the edges; its tables are written to the shared folder. ``tolerance`` None leaves the threshold as it is.
+    Each round: one grouped kernel over the blocks' edges, which returns the roots of the nodes that went, components of the pointers
+    if there are any, and one re-rooting of the edges; its tables are written to the shared folder. ``tolerance`` None leaves the threshold as it is.
     ``on_iteration`` gets the round, the parents and the nodes, for sinks.
     """
     scratch = scratch or Scratch(edges.sparkSession)
@@ -105,16 +105,20 @@ def merge(edges: DataFrame, nodes: DataFrame, policy: str, threshold: float, tol
         copies = joined(edges, nodes).withColumn("block", F.explode(F.array_distinct(F.array("bs", "bd"))))
         cols = ["block", "src", "dst", "affinity", "multiplicity", "hist", "bs", "bd", "cs", "cd"]
         found = scratch.keep(copies.select(*cols).groupBy("block").applyInArrow(kernel(policy, bound, region_ratio), RESULT))
-        if not found.take(1):
+        kinds = {r[0] for r in found.select("kind").distinct().collect()}
+        if not kinds:
             break
         log = log.unionByName(found.where("kind = 'merge'").withColumn("iteration", F.lit(i)))
-        roots = scratch.keep(connected_components(found.where("kind = 'merge'"), "n1", "n2", scratch))
-        blocks = connected_components(found.where("kind = 'point'"), "block", "target", scratch)
-        edges = scratch.keep(reroot(edges, roots, policy))
-        at = nodes.join(roots, "node", "left").select("block", F.coalesce("root", "node").alias("node"), "cnt")
-        nodes = scratch.keep(_moved(at.groupBy("block", "node").agg(F.sum("cnt").alias("cnt")), blocks))
-        parent = parent.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-        parent = scratch.keep(parent.select("node", F.coalesce("top", "root").alias("root")))
+        roots = found.where("kind = 'root'").select(F.col("n1").alias("node"), F.col("n2").alias("root"))
+        if "root" in kinds:
+            edges = scratch.keep(reroot(edges, roots, policy))
+            at = nodes.join(roots, "node", "left").select("block", F.coalesce("root", "node").alias("node"), "cnt")
+            nodes = at.groupBy("block", "node").agg(F.sum("cnt").alias("cnt"))
+            parent = parent.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+            parent = scratch.keep(parent.select("node", F.coalesce("top", "root").alias("root")))
+        if "point" in kinds:
+            nodes = _moved(nodes, connected_components(found.where("kind = 'point'"), "block", "target", scratch))
+        nodes = scratch.keep(nodes)
         if on_iteration:
             on_iteration(i, parent, nodes)
     else:
