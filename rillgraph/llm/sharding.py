@@ -2,7 +2,8 @@
 
 Records are ordered by (hash of the text, hash of the id). A size-weighted sample of these keys gives quantile boundaries;
 the boundaries cut all records into many small ranges, ranges that turn out overfull are subdivided, and the
-shards are runs of ranges with equal numbers of bytes.
+shards are runs of ranges with equal numbers of bytes. A record weighs its bytes and as many again as a record has on
+average, so that a great many tiny texts make ranges of their own too.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from rillgraph.runtime import Scratch
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
-def _draw(base: DataFrame, total: int, wanted: int) -> list[tuple[int, int, int]]:
-    """About ``wanted`` keys, each drawn in proportion to its bytes; the hash of the key is the die."""
-    share = F.col("size") * F.lit(wanted / total)
+def _draw(base: DataFrame, load: Column, wanted: int) -> list[tuple[int, int, int]]:
+    """About ``wanted`` keys, each drawn in proportion to its part ``load`` of the whole; the hash of the key is the die."""
+    share = load * F.lit(float(wanted))
     die = F.shiftrightunsigned(F.xxhash64("s", "h", F.lit(7)), 11) / F.lit(float(2**53))
     copies = F.floor(share) + F.when(die < share - F.floor(share), 1).otherwise(0)
     return [tuple(r) for r in base.select("h", "s", copies.alias("n")).where("n > 0").collect()]
@@ -57,7 +58,7 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``df``: doc_id, size, text_crc32, shard, slot.
 
     Shards hold equal numbers of bytes to within one unit: a unit is a group of equal texts as long as it is no larger
-    than a range (1/256 of all bytes, or less for large tables), else a row. So copies stay together unless their group
+    than a range (1/256 of all bytes and rows, or less for large tables), else a row. So copies stay together unless their group
     is itself a noticeable part of a shard. ``per_range`` rows make a range, at least 16 ranges a shard and at most
     ``max_ranges`` in all; 16 keys a range are sampled, so the driver sees 16 * max_ranges keys at most, roughly.
 
@@ -73,13 +74,14 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total, rows = base.agg(F.sum("size"), F.count("*")).first()
     total = total or 1
     ranges = max(16 * shards, min(max_ranges, rows // per_range))
-    cuts = splitters(_draw(base, total, 16 * ranges), ranges)
+    load = F.col("size") / F.lit(2.0 * total) + F.lit(0.5 / max(rows, 1))
+    cuts = splitters(_draw(base, load, 16 * ranges), ranges)
     target = total / ranges
 
     # Subdivide overfull ranges: the keys are hashes, so equal steps between a range's ends even them out.
     at = base.withColumn("r", _range_of(cuts))
-    full = at.groupBy("r").agg(F.sum("size").alias("bytes"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-    full = full.select("r", "h0", "h1", "s0", "s1", F.when(F.col("bytes") > 2 * target, F.ceil(F.col("bytes") / target)).otherwise(1).alias("parts"))
+    full = at.groupBy("r").agg(F.sum(load).alias("load"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("s").alias("s0"), F.max("s").alias("s1"))
+    full = full.select("r", "h0", "h1", "s0", "s1", F.when(F.col("load") > 2 / ranges, F.ceil(F.col("load") * ranges)).otherwise(1).alias("parts"))
     one = F.col("h0") == F.col("h1")
     x, lo, hi = (F.when(one, F.col(a)).otherwise(F.col(b)).cast("double") for a, b in (("s", "h"), ("s0", "h0"), ("s1", "h1")))
     part = F.when((F.col("parts") == 1) | (hi <= lo), 0).otherwise(F.least(F.col("parts") - 1, F.floor((x - lo) / (hi - lo) * F.col("parts"))))
