@@ -108,18 +108,18 @@ def _post(window: int):
 
 
 def _windows(window: int):
-    """(w, w2, doc, pos) for each window whose anchor's key is among the text's repeated ones; w and w2 are 128 bits of hash."""
+    """(w, w2, doc, tie, pos) for each window whose anchor's key is among the text's repeated ones; w and w2 are 128 bits of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(len(whole)):
                 batch = whole.slice(a, 1)
-                doc, rank, keys = batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), batch.column(3)[0].values.to_numpy()
+                doc, tie, keys = batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), batch.column(3)[0].values.to_numpy()
                 words, begin = hash_words(as_bytes(batch.column(2)))
                 first, _, key = anchors(words, begin, window)
                 first = first[np.isin(key.view(np.int64), keys)]
                 w, w2 = (_rolling(words, first, window, place).view(np.int64) for place in (2, 2050))
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(w2), pa.array(np.full(len(w), doc, np.int64)), pa.array(first + (rank << 32))], names=["w", "w2", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(w2), *(pa.array(np.full(len(w), x, np.int64)) for x in (doc, tie)), pa.array(first)], names=["w", "w2", "doc", "tie", "pos"])
 
     return run
 
@@ -172,13 +172,16 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     result. Carried columns named n_words, n_removed or kept are replaced.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    last = F.lit(2**63 - 1)
+    text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(id_col).cast("long"), last)
     hashes = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(5), text, F.octet_length(text)).alias("h2")]
 
     # Equal texts: the one with the smallest id stands for all, as every window of the others occurs in it.
     classes = df.select(key.alias("doc"), *hashes).groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy("h1", "h2")) - 1
-    classes = scratch.keep(classes.withColumn("rank", rank.cast("long")))
+    # The texts of one id are told apart by a rank; those without an id, which may be very many, by their hash.
+    part = F.when(F.col("doc") == last, F.col("h1")).otherwise(0)
+    rank = F.row_number().over(Window.partitionBy("doc", part).orderBy("h1", "h2")) - 1
+    classes = scratch.keep(classes.withColumn("tie", part + rank))
 
     posts = scratch.keep(df.select(hashes[0], text.alias("text")).mapInArrow(_post(window), "h1 long, key long, often boolean"))
     again = posts.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("often").alias("often"), F.count("*").alias("n"))
@@ -188,12 +191,12 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     scratch.drop(posts, again)
 
     first = df.select(key.alias("doc"), *hashes, text.alias("text")).join(classes.join(keys, "h1"), ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2"])
-    found = scratch.keep(first.select("doc", "rank", "text", "keys").mapInArrow(_windows(window), "w long, w2 long, doc long, pos long"))
-    early = found.groupBy("w", "w2").agg(F.min(F.struct("doc", "pos")).alias("early"), F.count("*").alias("n")).where("n > 1")
+    found = scratch.keep(first.select("doc", "tie", "text", "keys").mapInArrow(_windows(window), "w long, w2 long, doc long, tie long, pos long"))
+    early = found.groupBy("w", "w2").agg(F.min(F.struct("doc", "tie", "pos")).alias("early"), F.count("*").alias("n")).where("n > 1")
     early = scratch.keep(early)
-    late = split_join(found, early, ["w", "w2"], ["doc", "pos"], found.count()).where(F.struct("doc", "pos") > F.col("early"))
-    late = late.groupBy("doc", F.shiftright("pos", 32).alias("rank")).agg(F.collect_list(F.col("pos").bitwiseAND(F.lit(2**32 - 1))).alias("starts"))
-    marks = classes.join(late, ["doc", "rank"], "left").select("h1", "h2", F.col("doc").alias("own"), F.lit(True).alias("first"), "starts")
+    late = split_join(found, early, ["w", "w2"], ["doc", "tie", "pos"], found.count()).where(F.struct("doc", "tie", "pos") > F.col("early"))
+    late = late.groupBy("doc", "tie").agg(F.collect_list("pos").alias("starts"))
+    marks = classes.join(late, ["doc", "tie"], "left").select("h1", "h2", F.col("doc").alias("own"), F.lit(True).alias("first"), "starts")
     marks = scratch.keep(marks)
     scratch.drop(found, early, keys)
 
