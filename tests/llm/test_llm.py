@@ -55,6 +55,18 @@ def test_sharding(spark):
     assert sharding.shard_by_bytes(docs(spark, [])).collect() == []
 
 
+def test_many_tiny_texts_make_ranges_of_their_own(spark, monkeypatch):
+    rows = [(i, None) for i in range(2000)] + [(5000 + i, f"text {i} " * 200) for i in range(300)]
+    cuts, whole = [], sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda *x: cuts.extend(whole(*x)) or list(cuts))
+    got = sharding.shard_by_bytes(docs(spark, rows)).collect()
+    check_shards(rows, got)
+    empty = spark.range(1).select(F.xxhash64(F.lit(""))).first()[0]
+    assert sum(h == empty for h, _ in cuts) > len(cuts) / 4
+    sizes = np.bincount([g.shard for g in got], [g.size for g in got])
+    assert sizes.max() - sizes.min() <= 2 * max(g.size for g in got) + sum(sizes) / 256
+
+
 # op2
 
 
@@ -422,6 +434,15 @@ def test_substrings(spark, window):
     assert done.columns == [*docs(spark, []).columns, "n_chars"] and done.where("n_chars <> length(text)").count() == 0
 
 
+def test_repeats_among_texts_without_ids(spark):
+    p, q = (" ".join(f"{x}{i}" for i in range(25)) for x in "pq")
+    rows = [(5, p + " end"), *((None, f"t{i} {p}") for i in range(40)), (None, q + " one"), (None, "two " + q)]
+    got = substrings.repeated(docs(spark, rows)).collect()
+    assert [g.n_removed for g in got if g.doc_id == 5] == [0]
+    assert sorted(g.n_removed for g in got) == [0, 0] + [25] * 41
+    assert sum(q in g.kept for g in got) == 1 and sum(p in g.kept for g in got) == 1
+
+
 def test_only_emptied_documents_go(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(1, long), (2, long), (3, ""), (4, " \t"), (5, None), (6, " ".join(long.split()[5:30])), (7, "few words"), (8, "few words")]
