@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillgraph.functions.policies import POLICIES
@@ -306,6 +306,19 @@ query("merge_median")(lambda s, d: _merged(s, d, "aff_median", 0.1).parent)
 query("merge_log_count")(lambda s, d: _merged(s, d, "log_count", 0.02).parent)
 query("merge_log")(lambda s, d: _merged(s, d).merges)
 
+
+@query("merge_avg_conserved", f"WITH {EDGES} SELECT count(*) AS nodes, sum(cnt)::BIGINT AS voxels, 0::BIGINT AS astray, 0::BIGINT AS miscounted FROM nodes")
+def _merge_avg_conserved(s, d):
+    """What any policy's result must keep: every node, all voxels, roots that are their own and the least of their nodes, and their counts."""
+    done = _merged(s, d, "aff_only_avg", 0.1)
+    tops = done.parent.where("node = root").select(F.col("root").alias("top"))
+    at = done.parent.join(tops, F.col("root") == F.col("top"), "left")
+    total = at.agg(F.count("*").alias("nodes"), F.count_if(F.col("top").isNull() | (F.col("root") > F.col("node"))).alias("astray"))
+    own = nodes(s, d).join(done.parent, "node").groupBy("root").agg(F.sum("cnt").alias("own"))
+    both = done.nodes.join(own, F.col("node") == F.col("root"), "full")
+    counted = both.agg(F.sum("cnt").alias("voxels"), F.count_if(~F.col("cnt").eqNullSafe(F.col("own"))).alias("miscounted"))
+    return total.unionByName(counted, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("nodes", "voxels", "astray", "miscounted")])
+
 # Watersheds
 
 _NB = PX + ", w AS (SELECT x, y, ax, ay, lag(ax) OVER (PARTITION BY y ORDER BY x) lx, lag(ay) OVER (PARTITION BY x ORDER BY y) ly FROM g), b AS (SELECT *, greatest(ax, ay, lx, ly) best FROM w), " \
@@ -319,6 +332,17 @@ query("local_maxima_seeds", f"WITH {PX}, w AS (SELECT x, y, v, lag(v) OVER (PART
       "SELECT x, y, v FROM w WHERE v > 0 AND coalesce(a < v, true) AND coalesce(b < v, true) AND coalesce(c < v, true) AND coalesce(d < v, true)")(
     lambda s, d: grid.seeds(px(s, d).select("x", "y", "v"), ["x", "y"], "v"))
 query("watershed_labels")(lambda s, d: watershed.initial_watershed(lab(s, d), ["x", "y"], ["ax", "ay"]))
+
+
+@query("watershed_in_blocks", f"WITH {LAB} SELECT block, count(*) AS voxels, 0::BIGINT AS shared FROM lab GROUP BY 1")
+def _watershed_in_blocks(s, d):
+    """Every voxel of a block keeps one place, and no label occurs in two blocks."""
+    found = watershed.initial_watershed(lab(s, d), ["x", "y"], ["ax", "ay"])
+    labels = found.where("label > 0").groupBy("block", "label").agg(F.count("*").alias("n")).withColumn("blocks", F.count("*").over(Window.partitionBy("label")))
+    shared = labels.groupBy("block").agg(F.count_if(F.col("blocks") > 1).alias("shared"))
+    return found.groupBy("block").agg(F.count("*").alias("voxels")).join(shared, "block", "left").select("block", "voxels", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
 query("seeded_watershed")(lambda s, d: watershed.seeded_watershed(lab(s, d).withColumn("a", (F.coalesce("ax", F.lit(0.0)) + F.coalesce("ay", F.lit(0.0))) / 2), ["x", "y"], "a"))
 query("size_linkage")(lambda s, d: watershed.size_linkage(at_blocks(s, d).where("bs = bd").withColumn("block", F.col("bs")), 40.0))
 query("size_linkage_thresholds")(lambda s, d: watershed.size_linkage(at_blocks(s, d).where("bs = bd").withColumn("block", F.col("bs")), [10.0, 20.0, 40.0]))
